@@ -27,9 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "citeloom-checkpoints")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    ``narrow``: rows of a few numbers from a cheap step; a file then takes 16 shuffle partitions, in proportion to
+    their number, instead of one.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{shared_dir(spark).rstrip('/')}/citeloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

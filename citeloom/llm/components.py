@@ -32,12 +32,12 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     Defined cases: loops and repeated or reversed edges change nothing; an empty table gives an empty result.
     """
-    now = stored(edges.select("a", "b").where("a != b").distinct(), label)
+    now = stored(edges.select("a", "b").where("a != b").distinct(), label, narrow=True)
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     state = None
     while True:
-        step = stored(_star(now, large=True), label)
-        after = stored(_star(step, large=False), label)
+        step = stored(_star(now, large=True), label, narrow=True)
+        after = stored(_star(step, large=False), label, narrow=True)
         seen = tuple(after.agg(F.count(F.lit(1)), mark).first())
         dropped(step)
         dropped(now)
@@ -51,5 +51,5 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 def with_roots(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """``nodes`` with a column ``root``: the root of ``key``, or ``key`` itself where it has no edge."""
-    found = stored(components(edges), "roots")
+    found = stored(components(edges), "roots", narrow=True)
     return keyed_join(nodes, found.withColumnRenamed("node", key), [key], "left").withColumn("root", F.coalesce("root", key))

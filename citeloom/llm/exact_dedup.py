@@ -34,10 +34,10 @@ def exact_dedup(
     prefix = F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("ph")
 
     # Round 1: only lengths that occur twice go on.
-    lengths = stored(rows.select(length).groupBy("n").count().where("count > 1").select("n"), "dedup-lengths")
+    lengths = stored(rows.select(length).groupBy("n").count().where("count > 1").select("n"), "dedup-lengths", narrow=True)
     # Round 2: prefix hashes of the rows that have such a length.
     second = keyed_join(rows.select("doc_id", length, prefix), lengths, ["n"], "left_semi", F.col("doc_id"))
-    twins = stored(second.groupBy("n", "ph").count().where("count > 1").select("n", "ph"), "dedup-prefixes")
+    twins = stored(second.groupBy("n", "ph").count().where("count > 1").select("n", "ph"), "dedup-prefixes", narrow=True)
     dropped(lengths)
     # Round 3: the full content of rows whose length and prefix both recur.
     twin_rows = twins.count()
@@ -49,6 +49,7 @@ def exact_dedup(
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1"),
         "dedup-groups",
+        narrow=True,
     )
     if hash_all:
         hashed = rows.select("doc_id", full)
@@ -68,5 +69,5 @@ def exact_dedup(
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; all columns stay."""
-    gone = stored(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "dedup-gone")
+    gone = stored(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "dedup-gone", narrow=True)
     return keyed_join(docs, gone, [id_col], "left_anti")

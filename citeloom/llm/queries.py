@@ -18,6 +18,21 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.language_id import identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = identify(docs, learn(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.substring import substring_dedup
+
+    return substring_dedup(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.simhash import near_groups
 
@@ -52,6 +67,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_simhash": op4_simhash,
     "op5_topk": op5_topk,
     "op7_exact_dedup": op7_exact_dedup,
@@ -60,6 +77,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS ws FROM documents),
+        p AS (
+            SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+        f AS (SELECT h, min(doc_id) AS m FROM p GROUP BY h),
+        gone AS (
+            SELECT DISTINCT doc_id, i + k AS at
+            FROM (SELECT p.doc_id, p.i, unnest(range(0, 50)) AS k FROM p JOIN f USING (h) WHERE f.m < p.doc_id)),
+        each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM w),
+        kept AS (
+            SELECT e.doc_id, count(*) AS n, string_agg(e.word, ' ' ORDER BY e.at) AS text
+            FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.at = g.at GROUP BY e.doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
     "op5_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings

@@ -125,6 +125,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
             (F.row_number().over(of_group.orderBy("s")) == 1).alias("first"),
         ),
         "shard-parts",
+        narrow=True,
     )
     groups = parts.where("first").select("g", "bytes", "n")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
@@ -144,6 +145,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     blocks = stored(
         blocks.select("cls", "hb", "bb", "bc", "bm", F.coalesce(F.sum("bb").over(in_order), F.lit(0)).alias("bytes_at"), F.coalesce(F.sum("bn").over(in_order), F.lit(0)).alias("rows_at")),
         "shard-blocks",
+        narrow=True,
     )
     inside = Window.partitionBy("cls", "hb").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
     placed = stored(
@@ -153,6 +155,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
             (F.col("rows_at") + F.sum("n").over(inside) - F.col("n")).alias("rows_start"),
         ),
         "shard-groups",
+        narrow=True,
     )
 
     def refine(windows: list[tuple[int, int]]) -> list[tuple[int, bool]]:

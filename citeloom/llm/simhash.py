@@ -184,12 +184,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored.
     """
     prints = stored(fingerprints(docs, id_col, text_col, width), "simhash-docs")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    found = stored(components(links(distinct.select("fp"), radius), "simhash-links"), "simhash-roots")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct", narrow=True)
+    found = stored(components(links(distinct.select("fp"), radius), "simhash-links"), "simhash-roots", narrow=True)
     joined = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = stored(joined, "simhash-rooted")
+    joined = stored(joined, "simhash-rooted", narrow=True)
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    mapped = stored(joined.join(least, "root").select("fp", "component_id"), "simhash-components")
+    mapped = stored(joined.join(least, "root").select("fp", "component_id"), "simhash-components", narrow=True)
     dropped(joined)
     return keyed_join(prints, mapped, ["fp"], "left", F.col("doc_id"))
 
@@ -197,5 +197,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id; all columns stay."""
     groups = near_groups(docs, id_col, text_col, width, radius)
-    gone = stored(groups.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "simhash-gone")
+    gone = stored(groups.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "simhash-gone", narrow=True)
     return keyed_join(docs, gone, [id_col], "left_anti")
