@@ -75,7 +75,13 @@ class Boundaries:
                 if not self.whole[i]:
                     out.add((self.ends[i - 1], self.ends[i]))
                 i += 1
-        return sorted(out)
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(out):
+            if merged and merged[-1][1] == a:
+                merged[-1] = (merged[-1][0], b)
+            else:
+                merged.append((a, b))
+        return merged
 
 
 def minimax_cuts(known: Boundaries, largest: int, shards: int, refine) -> tuple[int, list[int]]:
