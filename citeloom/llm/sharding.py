@@ -166,10 +166,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
 
     def refine(windows: list[tuple[int, int]]) -> list[tuple[int, bool]]:
         width = max(1, sum(b - a for a, b in windows) // GRID)
-        here = F.lit(False)
-        for a, b in windows:
-            here = here | ((F.col("bytes_end") > a) & (F.col("bytes_end") <= b))
-        cells = placed.where(here).groupBy(F.floor(F.col("bytes_end") / F.lit(width)).alias("cell")).agg(F.min("bytes_end").alias("a"), F.max("bytes_end").alias("b"), F.count(F.lit(1)).alias("c")).collect()
+        edges = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in windows])
+        here = F.exists(edges, lambda w: (F.col("bytes_end") > w["a"]) & (F.col("bytes_end") <= w["b"]))
+        cells = placed.where((F.col("bytes_end") > windows[0][0]) & (F.col("bytes_end") <= windows[-1][1])).where(here).groupBy(F.floor(F.col("bytes_end") / F.lit(width)).alias("cell")).agg(F.min("bytes_end").alias("a"), F.max("bytes_end").alias("b"), F.count(F.lit(1)).alias("c")).collect()
         # Every group end inside the windows is in a cell: nothing stands before a cell's first end, and nothing
         # between its first and last if it has two.
         found = [(r["a"], True) for r in cells] + [(r["b"], r["c"] <= 2) for r in cells]
