@@ -21,6 +21,13 @@ WHITE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
+def long_texts(spark: SparkSession) -> SparkSession:
+    """Session settings for tables of long texts: few rows a batch, so that a batch of whole texts stays small."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -59,7 +66,7 @@ def keyed_join(
     how: str,
     salt_by: Column | None = None,
     right_rows: int | None = None,
-    salts: int = 32,
+    salts: int = 8,
 ) -> DataFrame:
     """Join a large table with one that is unique on ``keys``, safe when one key holds a third of ``left``.
 

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import long_texts
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return long_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _tokenizer(name: str) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored
+from citeloom.llm.common import long_texts, stored
 from citeloom.llm.exact_dedup import drop_exact
 from citeloom.llm.language_id import keep_identified, learn
 from citeloom.llm.packing import pack_documents
@@ -20,6 +20,7 @@ from citeloom.llm.substring import drop_repeats
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (null, or no letter at all) go; profiles are learned from all labels."""
+    long_texts(spark)
     return keep_identified(docs, learn(docs, F.lit(True)))
 
 
