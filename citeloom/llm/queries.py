@@ -35,6 +35,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.max_plus import decode, encode
+
+    model = _tokenizer("piece_bpe_32k.model")
+    out = decode(encode(_table(spark, sf_dir, "documents"), model), model)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.crc32("text").cast("long").alias("decoded_crc32"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.simhash import near_groups
 
@@ -49,6 +57,12 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table, table.where("vec_id % 50 = 0"), k=5)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.token_counts import section_tokens
+
+    return section_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), rule="first")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.exact_dedup import exact_dedup
 
@@ -62,6 +76,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.html_lstm import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.packing import pack_documents
 
@@ -71,10 +91,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
     "op5_topk": op5_topk,
+    "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
+    "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
 }
 
