@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -124,28 +125,31 @@ def slot(name: str, slots: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % slots
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """One row a block.  Words are hashed, so that no vocabulary has to be known."""
-    out = np.zeros((len(page), FEATURES), np.float32)
+def features(page: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """One row for each block from ``first`` up to ``last``.  Words are hashed, so that no vocabulary has to be known."""
     n = len(page)
-    for i, b in enumerate(page):
-        for depth, name in enumerate(b.path):
-            out[i, slot(name, PATH_SLOTS)] = 1.0
-            if depth >= len(b.path) - 2:
-                out[i, slot("leaf " + name, PATH_SLOTS)] = 1.0
-        words = b.text.split(" ")
-        for w in words:
-            out[i, PATH_SLOTS + slot(w.lower(), WORD_SLOTS)] += 1.0
-        out[i, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] /= len(words)
+    last = n if last is None else min(n, last)
+    out = np.zeros((last - first, FEATURES), np.float32)
+    for i, b in enumerate(page[first:last]):
+        row = out[i]
+        row[path_slots(tuple(b.path))] = 1.0
+        words = b.text.lower().split(" ")
+        row[PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = np.bincount([slot(w, WORD_SLOTS) for w in words], minlength=WORD_SLOTS) / len(words)
         size = len(b.text)
-        out[i, PATH_SLOTS + WORD_SLOTS :] = (
-            min(1.0, np.log1p(len(words)) / 6),
-            min(1.0, np.log1p(size) / 8),
+        row[PATH_SLOTS + WORD_SLOTS :] = (
+            min(1.0, math.log1p(len(words)) / 6),
+            min(1.0, math.log1p(size) / 8),
             b.linked / max(size, 1),
             10 * sum(map(b.text.count, ".,;:!?")) / max(size, 1),
-            i / max(n - 1, 1),
+            (first + i) / max(n - 1, 1),
             b.text[-1] in ".!?",
             b.text[0].isupper(),
             "©" in b.text,
         )
     return out
+
+
+@functools.lru_cache(20_000)
+def path_slots(path: tuple[str, ...]) -> list[int]:
+    leaf = ["leaf " + name for name in path[-2:]]
+    return sorted({slot(name, PATH_SLOTS) for name in [*path, *leaf]})

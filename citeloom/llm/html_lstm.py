@@ -27,8 +27,9 @@ PAGES = 1_500
 EPOCHS = 6
 RATE = 0.02
 SEED = 11
-#: Blocks labelled at a time; a longer page carries its state over the seam.
+#: Blocks whose features are in memory at a time, and padded blocks that go through the network together.
 STEP = 4_096
+BATCH = 8_192
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -77,18 +78,22 @@ class Lstm:
             dc = dc * f
         return x.T @ dz, h[:-1].T @ dz, dz.sum(axis=0)
 
-    def run(self, x: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        n = self.n
-        pre = x @ self.w + self.b
-        out = np.empty((len(x), n), np.float32)
-        h, c = state or (np.zeros(n, np.float32), np.zeros(n, np.float32))
-        for t in range(len(x)):
-            z = pre[t] + h @ self.u
-            s = _sigmoid(z[: 3 * n])
-            c = s[n : 2 * n] * c + s[:n] * np.tanh(z[3 * n :])
-            h = s[2 * n :] * np.tanh(c)
-            out[t] = h
-        return out, (h, c)
+    def run(self, pre: list[np.ndarray]) -> list[np.ndarray]:
+        """Hidden states of several sequences, longest first, from their ``x @ w + b``; all take a step together."""
+        n, lengths = self.n, np.array([len(p) for p in pre])
+        steps = np.zeros((lengths[0], len(pre), 4 * n), np.float32)
+        for i, p in enumerate(pre):
+            steps[: len(p), i] = p
+        out = np.zeros((lengths[0], len(pre), n), np.float32)
+        h, c = np.zeros((len(pre), n), np.float32), np.zeros((len(pre), n), np.float32)
+        for t in range(lengths[0]):
+            live = int(np.searchsorted(-lengths, -t, side="left"))
+            z = steps[t, :live] + h[:live] @ self.u
+            s = _sigmoid(z[:, : 3 * n])
+            c = s[:, n : 2 * n] * c[:live] + s[:, :n] * np.tanh(z[:, 3 * n :])
+            h = s[:, 2 * n :] * np.tanh(c)
+            out[t, :live] = h
+        return [out[: len(p), i] for i, p in enumerate(pre)]
 
 
 class Labeller:
@@ -112,19 +117,27 @@ class Labeller:
         d = np.outer(err, self.v[:-1])
         return [*self.ahead.backward(d[:, :n], kept_a), *self.back.backward(d[::-1, n:], kept_b), dv]
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        n = HIDDEN_UNITS
-        logit = np.full(len(x), float(self.v[-1]))
-        state = None
-        for at in range(0, len(x), STEP):
-            out, state = self.ahead.run(x[at : at + STEP], state)
-            logit[at : at + STEP] += out @ self.v[:n]
-        state = None
-        for end in range(len(x), 0, -STEP):
-            part = x[max(0, end - STEP) : end][::-1]
-            out, state = self.back.run(part, state)
-            logit[max(0, end - STEP) : end] += (out @ self.v[n:-1])[::-1]
-        return _sigmoid(logit)
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """Probability of each block of each page that it belongs to the article.
+
+        Pages of like length go through together, at most BATCH padded blocks at a time (a longer page by itself).
+        Features are made and projected STEP blocks at a time, so a huge page never has them all in memory.
+        """
+        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: -len(pages[i]))
+        out = [np.zeros(0, np.float32) for _ in pages]
+        while order:
+            take = max(1, BATCH // len(pages[order[0]]))
+            some, order = order[:take], order[take:]
+            ahead, back = [], []
+            for i in some:
+                made = ((x @ self.ahead.w + self.ahead.b, x @ self.back.w + self.back.b) for x in (features(pages[i], a, a + STEP) for a in range(0, len(pages[i]), STEP)))
+                one, two = zip(*made, strict=True)
+                ahead.append(np.concatenate(one))
+                back.append(np.concatenate(two)[::-1])
+            n = HIDDEN_UNITS
+            for i, a, b in zip(some, self.ahead.run(ahead), self.back.run(back), strict=True):
+                out[i] = _sigmoid(a @ self.v[:n] + b[::-1] @ self.v[n:-1] + self.v[-1])
+        return out
 
 
 def train(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
@@ -284,12 +297,10 @@ def labeller(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labe
     return train([(features(p), y) for p, y in training_pages(pages, seed)], epochs, seed)
 
 
-def main_text(html: str | None, model: Labeller) -> str:
-    page = blocks(html)
-    if not page:
-        return ""
-    keep = model.probabilities(features(page)) >= 0.5
-    return "\n\n".join(b.text for b, k in zip(page, keep.tolist(), strict=True) if k)
+def main_texts(htmls: list[str | None], model: Labeller) -> list[str]:
+    pages = [blocks(h) for h in htmls]
+    keep = [p >= 0.5 for p in model.label(pages)]
+    return ["\n\n".join(b.text for b, k in zip(page, ks.tolist(), strict=True) if k) for page, ks in zip(pages, keep, strict=True)]
 
 
 def extract(pages: DataFrame, model: Labeller | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -304,7 +315,7 @@ def extract(pages: DataFrame, model: Labeller | None = None, id_col: str = "page
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h, held.value) for h in b.column(2).to_pylist()]
+            texts = main_texts(b.column(2).to_pylist(), held.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(rows.dtypes)
