@@ -12,6 +12,7 @@ which state before it leads best to each state behind it, a composition of these
 are backtraced in parallel.
 Documents of one chunk take the short way: in the vocabulary no piece holds a word mark behind another character, so
 paths meet at every word start, the matrix there is a single number, and words are encoded one by one with a cache.
+Plain words that the cache lacks are searched by the library's own Viterbi code, read with the same pieces and scores.
 
 Ties: the path whose last piece is longest, then the same for what is before it.  A character that no piece covers is
 one step with a penalty, decoded into the byte pieces of its UTF-8 form.
@@ -20,7 +21,9 @@ one step with a penalty, decoded into the byte pieces of its UTF-8 form.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +39,51 @@ CHUNK = 8_192
 PENALTY = 10.0
 NEVER = -1e18
 _CACHE = 400_000
+_WORD = re.compile("▁+[^▁]*")
+#: Words that the library takes as they are: one mark, then printable ASCII or Latin-1 letters, few enough for its
+#: single-precision sums of whole scores to be exact.
+_PLAIN = re.compile("▁[!-~À-ÖØ-öø-ÿ]{1,64}")
+
+
+def _varint(raw: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (raw[at] & 127) << shift
+        shift, at = shift + 7, at + 1
+        if raw[at - 1] < 128:
+            return value, at
+
+
+def _fields(raw: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(number, start, end) of the values of a protocol buffer message."""
+    while at < end:
+        tag, at = _varint(raw, at)
+        if tag & 7 == 2:
+            size, at = _varint(raw, at)
+        elif tag & 7 == 0:
+            size = _varint(raw, at)[1] - at
+        else:
+            size = 8 if tag & 7 == 1 else 4
+        yield tag >> 3, at, at + size
+        at += size
+
+
+def as_unigram(path: str) -> object | None:
+    """The library on the same pieces and scores with the model type set to unigram, which is its Viterbi search.
+
+    In the model file the trainer settings are field 2, their model type is field 3 (1 unigram, 2 BPE).
+    """
+    import sentencepiece
+
+    with open(path, "rb") as f:
+        raw = bytearray(f.read())
+    for number, a, b in list(_fields(raw, 0, len(raw))):
+        if number == 2:
+            for inner, x, y in _fields(raw, a, b):
+                if inner == 3 and y == x + 1:
+                    raw[x] = 1
+                    return sentencepiece.SentencePieceProcessor(model_proto=bytes(raw))
+    return None
 
 
 class Pieces:
@@ -51,7 +99,12 @@ class Pieces:
         self.score = {p: sp.get_score(i) for p, i in self.text.items()}
         self.longest = max(map(len, self.text))
         self.unknown = min(self.score.values()) - PENALTY
-        self.raw = {i: p.encode() for p, i in self.text.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        self.raw = np.full(n, b"", object)
+        for p, i in self.text.items():
+            self.raw[i] = p.encode()
+        for b, i in enumerate(self.bytes):
+            self.raw[i] = bytes([b])
+        self.viterbi = as_unigram(path)
         #: A word's encoding is its own if no piece has a mark behind another character.
         self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.text)
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -96,28 +149,32 @@ class Pieces:
             n = back[n]
         return out[::-1]
 
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) >= _CACHE:
-                self.cache.clear()
-            found = self.cache[word] = tuple(i for p in self.best(word) for i in self.ids(p))
-        return found
+    def learn(self, words: list[str]) -> None:
+        """Encode words that the cache lacks; plain ones by the library's own Viterbi, in one call."""
+        if len(self.cache) + len(words) > _CACHE:
+            self.cache.clear()
+        plain = [w for w in words if _PLAIN.fullmatch(w)] if self.viterbi else []
+        if plain:
+            self.cache.update(zip(plain, map(tuple, self.viterbi.encode([w[1:] for w in plain], num_threads=1)), strict=True))
+        for w in words:
+            if w not in self.cache:
+                self.cache[w] = tuple(i for p in self.best(w) for i in self.ids(p))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text that stands in one chunk."""
         marked = mark(text)
         if not self.words_apart:
             return [i for p in self.best(marked) for i in self.ids(p)]
-        out: list[int] = []
-        get = self.cache.get
-        for w in split_words(marked):
-            out += get(w) or self.word(w)
-        return out
+        words = split_words(marked)
+        found = list(map(self.cache.get, words))
+        if None in found:
+            self.learn(sorted({w for w, f in zip(words, found, strict=True) if f is None}))
+            found = [self.cache.get(w) or f for w, f in zip(words, found, strict=True)]
+        return list(itertools.chain.from_iterable(found))
 
-    def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        return unmark(b"".join([raw.get(i, b"") for i in ids]).decode("utf-8", "surrogatepass"))
+    def decode(self, ids: np.ndarray) -> str:
+        inside = ids[(ids >= 0) & (ids < len(self.raw))]
+        return unmark(b"".join(self.raw[inside].tolist()).decode("utf-8", "surrogatepass"))
 
     # --- one chunk of a giant document ---
 
@@ -175,13 +232,7 @@ def unmark(text: str) -> str:
 
 def split_words(marked: str) -> list[str]:
     """Cuts before each mark that follows another character: no piece crosses there."""
-    out, run = [], ""
-    for part in marked.split(MARK)[1:]:
-        run += MARK
-        if part:
-            out.append(run + part)
-            run = ""
-    return out + [run] if run else out
+    return _WORD.findall(marked)
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -234,7 +285,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model)
         for b in batches:
-            ids = [pieces.encode(t) for t in b.column(1).to_pylist()]
+            ids = [np.array(pieces.encode(t), np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     small = rows.where(F.length("text") <= giant).mapInArrow(short, f"doc_id {kind}, ids array<int>")
@@ -300,7 +351,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model)
         for b in batches:
-            texts = [None if x is None else pieces.decode(x) for x in b.column(1).to_pylist()]
+            texts = [pieces.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>, text string")
