@@ -12,7 +12,7 @@ which state before it leads best to each state behind it, a composition of these
 are backtraced in parallel.
 Documents of one chunk take the short way: in the vocabulary no piece holds a word mark behind another character, so
 paths meet at every word start, the matrix there is a single number, and words are encoded one by one with a cache.
-Plain words that the cache lacks are searched by the library's own Viterbi code, read with the same pieces and scores.
+Words that the cache lacks are searched a batch at a time, those of one length together.
 
 Ties: the path whose last piece is longest, then the same for what is before it.  A character that no piece covers is
 one step with a penalty, decoded into the byte pieces of its UTF-8 form.
@@ -40,50 +40,57 @@ PENALTY = 10.0
 NEVER = -1e18
 _CACHE = 400_000
 _WORD = re.compile("▁+[^▁]*")
-#: Words that the library takes as they are: one mark, then printable ASCII or Latin-1 letters, few enough for its
-#: single-precision sums of whole scores to be exact.
-_PLAIN = re.compile("▁[!-~À-ÖØ-öø-ÿ]{1,64}")
-
-
-def _varint(raw: bytes, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        value |= (raw[at] & 127) << shift
-        shift, at = shift + 7, at + 1
-        if raw[at - 1] < 128:
-            return value, at
-
-
-def _fields(raw: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(number, start, end) of the values of a protocol buffer message."""
-    while at < end:
-        tag, at = _varint(raw, at)
-        if tag & 7 == 2:
-            size, at = _varint(raw, at)
-        elif tag & 7 == 0:
-            size = _varint(raw, at)[1] - at
-        else:
-            size = 8 if tag & 7 == 1 else 4
-        yield tag >> 3, at, at + size
-        at += size
-
-
-def as_unigram(path: str) -> object | None:
-    """The library on the same pieces and scores with the model type set to unigram, which is its Viterbi search.
-
-    In the model file the trainer settings are field 2, their model type is field 3 (1 unigram, 2 BPE).
-    """
-    import sentencepiece
+#: Words up to this length are searched many at a time; longer ones one by one.
+_TOGETHER = 40
+
+
+class PieceTable:
+    """Pieces by a 64-bit polynomial hash of their characters: two direct tables, the second for what collides."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: list[str], ids: list[int], scores: list[float]) -> None:
+        self.keys = np.array([0, *(self.hash(p) for p in pieces)], np.uint64)
+        self.ids = np.array([-1, *ids], np.int64)
+        self.scores = np.array([NEVER, *scores])
+        if len(np.unique(self.keys)) != len(self.keys):
+            raise ValueError("two pieces have one hash")
+        self.first = np.zeros(1 << 20, np.int32)
+        at = self._slot(self.keys, 20)
+        self.first[at[:0:-1]] = np.arange(len(self.keys) - 1, 0, -1)
+        rest = np.flatnonzero(self.first[at] != np.arange(len(at)))
+        rest = rest[rest > 0]
+        bits = 16
+        while len(np.unique(self._other(self.keys[rest], bits))) < len(rest):
+            bits += 1
+        self.bits = bits
+        self.second = np.zeros(1 << bits, np.int32)
+        self.second[self._other(self.keys[rest], bits)] = rest
 
-    with open(path, "rb") as f:
-        raw = bytearray(f.read())
-    for number, a, b in list(_fields(raw, 0, len(raw))):
-        if number == 2:
-            for inner, x, y in _fields(raw, a, b):
-                if inner == 3 and y == x + 1:
-                    raw[x] = 1
-                    return sentencepiece.SentencePieceProcessor(model_proto=bytes(raw))
-    return None
+    @classmethod
+    def hash(cls, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(cls.BASE) + ord(c)) & (1 << 64) - 1
+        return h
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (((keys ^ keys >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    @staticmethod
+    def _other(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (((keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, 0 where there is none."""
+        a = self.first[self._slot(keys, 20)]
+        miss = self.keys[a] != keys
+        if miss.any():
+            b = self.second[self._other(keys[miss], self.bits)]
+            b[self.keys[b] != keys[miss]] = 0
+            a[miss] = b
+        return a
 
 
 class Pieces:
@@ -104,7 +111,7 @@ class Pieces:
             self.raw[i] = p.encode()
         for b, i in enumerate(self.bytes):
             self.raw[i] = bytes([b])
-        self.viterbi = as_unigram(path)
+        self.table = PieceTable(list(self.text), list(self.text.values()), [self.score[p] for p in self.text])
         #: A word's encoding is its own if no piece has a mark behind another character.
         self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.text)
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -150,15 +157,59 @@ class Pieces:
         return out[::-1]
 
     def learn(self, words: list[str]) -> None:
-        """Encode words that the cache lacks; plain ones by the library's own Viterbi, in one call."""
-        if len(self.cache) + len(words) > _CACHE:
-            self.cache.clear()
-        plain = [w for w in words if _PLAIN.fullmatch(w)] if self.viterbi else []
-        if plain:
-            self.cache.update(zip(plain, map(tuple, self.viterbi.encode([w[1:] for w in plain], num_threads=1)), strict=True))
+        """Encode words that the cache lacks, those of one length together."""
+        by_length: dict[int, list[str]] = {}
         for w in words:
-            if w not in self.cache:
-                self.cache[w] = tuple(i for p in self.best(w) for i in self.ids(p))
+            by_length.setdefault(len(w), []).append(w)
+        for length, some in by_length.items():
+            if length <= _TOGETHER and len(some) >= 8:
+                for at in range(0, len(some), 8192):
+                    self.cache.update(zip(some[at : at + 8192], self.together(some[at : at + 8192], length), strict=True))
+            else:
+                self.cache.update((w, tuple(i for p in self.best(w) for i in self.ids(p))) for w in some)
+
+    def prepare(self, texts: list[str]) -> None:
+        """Learn the new words of a batch of texts at once."""
+        if len(self.cache) > _CACHE:
+            self.cache.clear()
+        if self.words_apart:
+            new: set[str] = set()
+            for t in texts:
+                new.update(split_words(mark(t)))
+            self.learn([w for w in new if w not in self.cache])
+
+    def together(self, words: list[str], length: int) -> list[tuple[int, ...]]:
+        """Best paths of many words of one length: the steps of ``best`` on arrays."""
+        n, base = len(words), PieceTable.BASE
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).astype(np.uint64)
+        prefix = np.zeros((length + 1, n), np.uint64)
+        power = [np.uint64(1)]
+        for e in range(length):
+            prefix[e + 1] = prefix[e] * base + points[:, e]
+            power.append(np.uint64(int(power[-1]) * int(base) & (1 << 64) - 1))
+        score, back, piece = np.zeros((length + 1, n)), np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
+        for e in range(1, length + 1):
+            starts = np.arange(max(0, e - self.longest), e)
+            keys = prefix[e] - prefix[starts] * np.array([power[e - s] for s in starts.tolist()], np.uint64)[:, None]
+            row = self.table.find(keys.ravel()).reshape(keys.shape)
+            gain = self.table.scores[row]
+            gain[-1][row[-1] == 0] = self.unknown
+            total = gain + score[starts]
+            pick = np.argmax(total, axis=0)  # the earliest start on ties
+            here = np.arange(n)
+            score[e], back[e], piece[e] = total[pick, here], starts[pick], self.table.ids[row[pick, here]]
+        out = []
+        for w, b, p in zip(words, back.T.tolist(), piece.T.tolist(), strict=True):
+            e, ids = length, []
+            while e:
+                i = p[e]
+                if i >= 0:
+                    ids.append(i)
+                else:
+                    ids += self.ids(w[b[e] : e])[::-1]
+                e = b[e]
+            out.append(tuple(ids[::-1]))
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text that stands in one chunk."""
@@ -168,8 +219,8 @@ class Pieces:
         words = split_words(marked)
         found = list(map(self.cache.get, words))
         if None in found:
-            self.learn(sorted({w for w, f in zip(words, found, strict=True) if f is None}))
-            found = [self.cache.get(w) or f for w, f in zip(words, found, strict=True)]
+            self.learn(list({w for w, f in zip(words, found, strict=True) if f is None}))
+            found = [f or self.cache[w] for w, f in zip(words, found, strict=True)]
         return list(itertools.chain.from_iterable(found))
 
     def decode(self, ids: np.ndarray) -> str:
@@ -285,7 +336,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model)
         for b in batches:
-            ids = [np.array(pieces.encode(t), np.int32) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            pieces.prepare(texts)
+            ids = [np.array(pieces.encode(t), np.int32) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     small = rows.where(F.length("text") <= giant).mapInArrow(short, f"doc_id {kind}, ids array<int>")
