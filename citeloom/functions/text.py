@@ -51,7 +51,7 @@ def _zipped(text: Column, pattern: str, groups: int, build) -> Column:
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(groups)]
     names = [f"g{i}" for i in range(groups)]
     zipped = F.arrays_zip(*[f.alias(n) for f, n in zip(found, names, strict=True)])
-    return F.transform(zipped, lambda z: build(*[z[str(i)] for i in range(groups)]))
+    return F.transform(zipped, lambda z: build(*[z[n] for n in names]))
 
 
 def neutral_citations(text: Column) -> Column:

@@ -1,10 +1,439 @@
-"""All registered queries of the retrieval and citation operators, and their SQL."""
+"""All registered queries of the retrieval and citation operators, and the same in SQL for DuckDB.
+
+Tables stand in for the domain: ``documents`` for decisions, ``embeddings`` for chunk vectors, ``benchmark`` for
+queries, ``lineitem`` for citation edges (order cites part), ``part`` for the cited dimension, ``conversations`` for
+lists per issue, ``events`` for hourly counters.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from citeloom.functions import chunking, text
+from citeloom.operators import evaluation, graph, lexical, ranking, vector
+from citeloom.plans.catalog_sql import ORACLES
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    QUERIES[make.__name__] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+    return make
+
+
+# --- filters, joins, aggregates ----------------------------------------------------------------------------------
+
+
+@query
+def group_count_by_source(t: Tables) -> DataFrame:
+    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def filtered_semi_join(t: Tables) -> DataFrame:
+    good = t.labels.where("quality = 1").select("doc_id")
+    return t.documents.where(F.col("lang").isin("en", "fr")).join(good, "doc_id", "left_semi").select("doc_id", "lang", "source")
+
+
+@query
+def case_filter_dates(t: Tables) -> DataFrame:
+    """Optional, inclusive bounds and a list, before any ranking."""
+    o = t.orders
+    return o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.col("o_orderdate").between("1995-01-01", "1996-12-31")).select("o_orderkey", "o_totalprice")
+
+
+@query
+def anti_join_unlabelled(t: Tables) -> DataFrame:
+    return t.documents.join(t.labels.select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query
+def exists_sample_filter(t: Tables) -> DataFrame:
+    """Several predicates and an EXISTS."""
+    long = t.documents.where((F.col("lang") == "en") & F.length("text").between(500, 20000))
+    return long.join(t.labels.where("toxic = 0").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n_chars")
+
+
+@query
+def edge_in_degree(t: Tables) -> DataFrame:
+    return graph.in_degree(t.lineitem, t.part, "p_partkey", "l_partkey", "l_orderkey")
+
+
+@query
+def distinct_on_best(t: Tables) -> DataFrame:
+    best = Window.partitionBy("l_partkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    lines = t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    top = lines.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
+    return top.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+
+
+@query
+def four_way_citing(t: Tables) -> DataFrame:
+    """Parts of the same brand and type as a target, the orders that cite them, each once, by price."""
+    target = t.part.where("p_partkey = 1").select("p_brand", "p_type")
+    same = t.part.join(target, ["p_brand", "p_type"]).select(F.col("p_partkey").alias("l_partkey"))
+    citing = t.lineitem.select("l_orderkey", "l_partkey").join(same, "l_partkey").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return t.orders.select("o_orderkey", "o_totalprice").join(citing, "o_orderkey").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query
+def ambiguous_key_drop(t: Tables) -> DataFrame:
+    return graph.unique_keys(t.part, ["p_brand", "p_type", "p_size"], "p_partkey")
+
+
+@query
+def citation_resolve(t: Tables) -> DataFrame:
+    """Keys of line items resolved through the unambiguous ones; those that don't resolve are left out."""
+    keys = graph.unique_keys(t.part, ["p_brand", "p_type", "p_size"], "p_partkey").withColumnRenamed("p_partkey", "id")
+    named = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("src"), "p_brand", "p_type", "p_size").distinct()
+    return graph.resolve(named, keys, ["p_brand", "p_type", "p_size"]).select("src", "dst")
+
+
+@query
+def year_fallback_resolve(t: Tables) -> DataFrame:
+    o = t.orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), "o_orderpriority")
+    keys = graph.unique_keys(o.where("o_orderpriority = '1-URGENT'"), ["o_custkey", "year"], "o_orderkey").withColumnRenamed("o_orderkey", "id")
+    raw = o.where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("src"), "o_custkey", "year")
+    return graph.resolve_with_year_before(raw, keys, ["o_custkey"]).select("src", "dst")
+
+
+@query
+def range_with_fallback(t: Tables) -> DataFrame:
+    refs = t.orders.select(F.col("o_orderkey").alias("ref_id"), F.col("o_orderkey").alias("l_orderkey"), (F.col("o_totalprice") / 10).alias("at"))
+    ranges = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("low"), F.col("l_extendedprice").alias("high"))
+    return graph.covering_range(refs, ranges, ["l_orderkey"], "at", "low", "high", "l_linenumber").select("ref_id", "l_linenumber", "covers")
+
+
+@query
+def or_join_union(t: Tables) -> DataFrame:
+    wanted = t.customer.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("k"))
+    return graph.either_key(wanted, t.orders.select("o_orderkey", "o_custkey"), "k", ["o_custkey", "o_orderkey"], "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query
+def first_wins_edges(t: Tables) -> DataFrame:
+    e = t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("source"), F.col("l_linenumber").alias("position"))
+    return graph.first_wins(e, ["R", "A", "N"])
+
+
+@query
+def best_confidence_edges(t: Tables) -> DataFrame:
+    e = t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_discount").alias("confidence"), F.col("l_linenumber").alias("position"))
+    return graph.best_confidence(e)
+
+
+@query
+def section_counts_written_back(t: Tables) -> DataFrame:
+    """Distinct citing orders per (brand, type), written to every part of it; zeros stay."""
+    counts = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "p_type").agg(F.countDistinct("l_orderkey").alias("cited_by_count"))
+    return t.part.select("p_partkey", "p_brand", "p_type").join(counts, ["p_brand", "p_type"], "left").select("p_partkey", F.coalesce("cited_by_count", F.lit(0)).alias("cited_by_count"))
+
+
+@query
+def group_min_edges(t: Tables) -> DataFrame:
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey", "p_brand").agg(F.min("p_partkey").alias("first_part"))
+
+
+@query
+def ingest_stats(t: Tables) -> DataFrame:
+    """Per source, with a total: rows, loadable, empty, repeated, mean characters."""
+    d = t.documents.select("source", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.sha2("text", 256).alias("h"))
+    cube = d.rollup("source").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("loadable"), (F.count("h") - F.countDistinct("h")).alias("dups"), F.round(F.avg("n"), 3).alias("avg_chars"))
+    return cube.withColumn("source", F.coalesce("source", F.lit("total")))
+
+
+@query
+def stratified_sample(t: Tables) -> DataFrame:
+    """A sample by rank of a hash within each stratum."""
+    order = Window.partitionBy("source").orderBy(F.md5(F.concat_ws(":", F.lit("seed1"), F.col("doc_id").cast("string"))), "doc_id")
+    return t.documents.select("doc_id", "source").withColumn("rn", F.row_number().over(order)).where("rn <= 3")
+
+
+@query
+def latest_wins_upsert(t: Tables) -> DataFrame:
+    """Upsert as union and latest row of each key."""
+    order = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    e = t.events.select("user_id", "event_type", "event_id", "ts", "value")
+    return e.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
+
+
+@query
+def hourly_rolling(t: Tables) -> DataFrame:
+    """Hourly counts and the sum of the last 24 hours' buckets."""
+    hours = t.events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("queries"), F.max("ts").alias("last_at"))
+    # One row an hour, whatever the number of events; dealt by day with the day before added, so no single task.
+    key = F.expr("explode(array(to_date(hour), date_add(to_date(hour), 1)))")
+    dealt = hours.withColumn("day", key)
+    at = Window.partitionBy("day").orderBy(F.col("hour").cast("long")).rangeBetween(-86399, 0)
+    rolled = dealt.withColumn("used_24h", F.sum("queries").over(at)).where(F.col("day") == F.to_date("hour"))
+    return rolled.select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "queries", "used_24h")
+
+
+@query
+def ttl_filter(t: Tables) -> DataFrame:
+    return t.events.where("ts > timestamp'2024-01-01 00:00:00' - interval 30 days").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- text --------------------------------------------------------------------------------------------------------
+
+
+@query
+def clean_text(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(text.clean(F.col("text"))).alias("clean_md5"))
+
+
+@query
+def overlap_words(t: Tables) -> DataFrame:
+    head = F.substring("text", 1, 400)
+    return t.documents.select("doc_id", F.size(text.content_words(F.col("text"))).alias("n_words"), F.round(text.overlap(F.col("text"), head), 6).alias("overlap"), F.round(text.jaccard(F.col("text"), head), 6).alias("jaccard"))
+
+
+@query
+def content_hash_dedupe(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", text.text_hash(F.col("text")).alias("content_hash"))
+    return d.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+
+
+CITED = [
+    (1, "see 2019 SCC 65 and [1992] 1 S.C.R. 986; also 2020  CAF 12."),
+    (2, "O. Reg. 34/10, R.R.O. 1990, Reg. 194 and O.Reg. 7/2015 apply; 2004 CSC 3"),
+    (3, "nothing here"),
+    (4, "2001 FCT 5, 2001 FCT 5 and [2003] 2 SCR 3"),
+]
+
+
+def cited_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CITED, "id int, text string")
+
+
+@query
+def neutral_citation_extract(t: Tables) -> DataFrame:
+    found = cited_rows(t.spark).select("id", F.posexplode(text.case_citations(F.col("text"))).alias("pos", "raw"))
+    return found.select("id", "pos", "raw", text.canonical(F.col("raw")).alias("canonical"))
+
+
+@query
+def regulation_refs_extract(t: Tables) -> DataFrame:
+    return cited_rows(t.spark).select("id", F.explode(text.regulation_refs(F.col("text"))).alias("r")).select("id", "r.citation", "r.alias")
+
+
+@query
+def json_section_explode(t: Tables) -> DataFrame:
+    m = F.from_json("props", "map<string,string>")
+    return t.events.select("event_id", F.explode(m).alias("section_no", "text"))
+
+
+@query
+def title_expansion(t: Tables) -> DataFrame:
+    """Rows of titles and their variants by CASE, unnested and united."""
+    p = t.part.select("p_partkey", "p_name", "p_brand")
+    long = F.size(F.split("p_name", " ")) >= 2
+    variants = F.filter(F.array(F.when(long, F.lower("p_name")), F.regexp_replace("p_brand", "Brand#", "Brand ")), lambda x: x.isNotNull())
+    names = p.select("p_partkey", F.col("p_name").alias("title"))
+    return names.unionByName(p.select("p_partkey", F.explode(variants).alias("title"))).distinct()
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------
+
+
+@query
+def bm25_topk(t: Tables) -> DataFrame:
+    return lexical.bm25_topk(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
+@query
+def bm25_filtered(t: Tables) -> DataFrame:
+    """The filter is a semi-join before the top-k; statistics stay corpus-wide."""
+    allowed = t.documents.where("lang = 'en'").select("doc_id")
+    return lexical.bm25_topk(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 5, allowed)
+
+
+SEED_VECTORS = [1, 2, 3, 5, 8]
+
+
+def _seed_vectors(t: Tables) -> DataFrame:
+    return t.embeddings.where(F.col("vec_id").isin(SEED_VECTORS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query
+def cosine_topk(t: Tables) -> DataFrame:
+    return vector.cosine_topk(t.embeddings, _seed_vectors(t), 20)
+
+
+def _vector_hits(t: Tables, k: int = 50) -> DataFrame:
+    """Two lists of each seed vector: nearest by cosine, and nearest on the first eight dimensions."""
+    case = t.embeddings.select("vec_id", F.col("label").alias("case_id"))
+    full = vector.cosine_topk(t.embeddings, _seed_vectors(t), k).withColumn("source", F.lit("vector"))
+    part = t.embeddings.withColumn("embedding", F.slice("embedding", 1, 8))
+    few = vector.cosine_topk(part, _seed_vectors(t).withColumn("query", F.slice("query", 1, 8)), k).withColumn("source", F.lit("lexical"))
+    both = full.unionByName(few).select("query_id", "source", "rank", F.col("item_id").alias("chunk_id"))
+    return both.join(case.withColumnRenamed("vec_id", "chunk_id"), "chunk_id")
+
+
+@query
+def rrf_fuse(t: Tables) -> DataFrame:
+    return ranking.fuse(_vector_hits(t)).select("query_id", "case_id", F.round("score", 9).alias("score"), "lexical_rank", "vector_rank", "position")
+
+
+@query
+def best_passages(t: Tables) -> DataFrame:
+    out = ranking.passages(_vector_hits(t))
+    return out.select("query_id", "case_id", "chunk_id", F.array_join("matched_by", ",").alias("matched_by"), "best_rank", "passage_no")
+
+
+def _order_seeds(t: Tables) -> DataFrame:
+    """Seeds: the 30 dearest orders of each priority, one priority a query."""
+    order = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    o = t.orders.select("o_orderpriority", "o_orderkey", "o_totalprice").withColumn("seed_rank", F.row_number().over(order))
+    return o.where(F.col("seed_rank") <= ranking.SEEDS).select(F.col("o_orderpriority").alias("query_id"), F.col("o_orderkey").alias("src"), "seed_rank")
+
+
+def _supplier_edges(t: Tables) -> DataFrame:
+    return t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"))
+
+
+@query
+def seed_support(t: Tables) -> DataFrame:
+    out = ranking.seed_support(_order_seeds(t), _supplier_edges(t))
+    return out.withColumn("support", F.round("support", 9))
+
+
+@query
+def graph_expand(t: Tables) -> DataFrame:
+    """A base list of suppliers per priority, expanded through what the seeds cite."""
+    seeds = _order_seeds(t)
+    graph_hits = ranking.seed_support(seeds.where(F.col("seed_rank") <= ranking.SEED_CASES), _supplier_edges(t)).select("query_id", F.col("dst").alias("case_id"), "n_seeds", "graph_rank")
+    base = seeds.where("seed_rank <= 10").select("query_id", F.col("seed_rank").cast("long").alias("case_id"), F.round(1.0 / (ranking.RRF_K + F.col("seed_rank")), 12).alias("score"))
+    both = base.join(graph_hits, ["query_id", "case_id"], "full_outer")
+    score = F.coalesce("score", F.lit(0.0)) + F.coalesce(1.0 / (ranking.RRF_K + F.col("graph_rank")), F.lit(0.0))
+    return both.select("query_id", "case_id", F.round(score, 9).alias("score"), "n_seeds", "graph_rank")
+
+
+@query
+def authority_prior(t: Tables) -> DataFrame:
+    degree = graph.in_degree(t.lineitem, t.part, "p_partkey", "l_partkey", "l_orderkey")
+    court = F.element_at(F.array(*[F.lit(c) for c in ("SCC", "FCA", "FC", "ONCA")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return degree.select("p_partkey", F.round(ranking.authority_prior(court, F.col("cited_by_count")), 9).alias("prior"))
+
+
+@query
+def rerank_blend(t: Tables) -> DataFrame:
+    """Head and tail of a long list, with a stand-in scorer that leaves some of the head unscored."""
+    hits = vector.cosine_topk(t.embeddings, _seed_vectors(t), 60).select("query_id", F.col("item_id").alias("case_id"), F.round(1.0 / (ranking.RRF_K + F.col("rank")), 12).alias("score"))
+    scores = hits.where("case_id % 3 != 0").select("query_id", "case_id", (F.col("case_id") * 37 % 101).cast("double").alias("rerank_score"))
+    out = ranking.rerank_blend(hits, scores)
+    return out.select("query_id", "case_id", F.round("score", 9).alias("score"), "is_tail", "rerank_rank", "final_rank")
+
+
+@query
+def section_rank(t: Tables) -> DataFrame:
+    keys = ["p_brand", "p_size"]
+    part = t.part.select("p_partkey", "p_brand", "p_size")
+    edges = t.lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("src"), *keys)
+    counts = edges.groupBy(*keys).agg(F.countDistinct("src").alias("cited_by_count"))
+    lists = []
+    for source, by in (("lexical", F.desc("p_retailprice")), ("vector", F.col("p_name").asc())):
+        order = Window.partitionBy("query_id").orderBy(by, "p_partkey")
+        first = t.part.withColumn("query_id", F.lit("1-URGENT")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 50)
+        lists.append(first.select("query_id", F.lit(source).alias("source"), "rank", *keys))
+    seeds = _order_seeds(t).where("query_id = '1-URGENT' and seed_rank <= 20")
+    out = ranking.rank_sections(lists[0].unionByName(lists[1]), seeds, edges, counts, keys)
+    return out.select("query_id", *keys, F.round("score", 9).alias("score"), "n_seeds", "graph_rank", "section_rank").where("section_rank <= 40")
+
+
+def _issue_lists(t: Tables) -> DataFrame:
+    """Lists per group of conversations: rank is the turn, items are hashed roles and text lengths."""
+    c = t.conversations.where("text is not null")
+    item = F.length("text") % 17
+    first = c.select((F.col("conv_id") / 5).cast("long").alias("grp"), (F.col("conv_id") % 5).cast("int").alias("list_no"), (F.col("turn") + 1).alias("rank"), item.alias("item"))
+    return first
+
+
+@query
+def interleave(t: Tables) -> DataFrame:
+    return ranking.interleave(_issue_lists(t), 10, ["grp"]).select("grp", "item", "position")
+
+
+@query
+def merge_issues(t: Tables) -> DataFrame:
+    return ranking.merge_issues(_issue_lists(t), 8, 3, ["grp"]).select("grp", "item", "position")
+
+
+@query
+def merge_group(t: Tables) -> DataFrame:
+    lists = _issue_lists(t)
+    lists = lists.groupBy("grp", "list_no", "item").agg(F.min("rank").alias("rank"))
+    return ranking.number_first_seen(ranking.group_issues(lists, 8, 3, 3, ["grp"]), ["grp"]).select("grp", "group_no", "item", "position", "number", "is_pointer")
+
+
+@query
+def cocitation_pool(t: Tables) -> DataFrame:
+    seeds = _order_seeds(t).where("seed_rank <= 8")
+    edges = t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("candidate"), F.year("l_shipdate").alias("year"))
+    cited = seeds.join(edges, "src").select("query_id", F.col("src").alias("seed"), (F.col("seed_rank") - 1).alias("seed_index"), "candidate", "year")
+    degrees = t.lineitem.groupBy(F.col("l_orderkey").alias("seed")).agg(F.countDistinct("l_suppkey").alias("degree"))
+    return graph.cocitation_pool(cited, degrees)
+
+
+@query
+def citing_threshold(t: Tables) -> DataFrame:
+    cited = _order_seeds(t).join(_supplier_edges(t), "src").select("query_id", "src", "dst")
+    return graph.citing_threshold(cited, 2)
+
+
+@query
+def regulation_citing_counts(t: Tables) -> DataFrame:
+    """Distinct items per document exploded and counted over documents, at least two, with the count."""
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{9,}"), F.lit(0)))).alias("citation"))
+    return words.groupBy("citation").agg(F.countDistinct("doc_id").alias("n")).where("n >= 2")
+
+
+# --- evaluation --------------------------------------------------------------------------------------------------
+
+
+@query
+def ndcg_recall_mrr(t: Tables) -> DataFrame:
+    """BM25 lists of the benchmark scored against the documents of the same first word, two grades."""
+    hits = lexical.bm25_topk(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 10).select("query_id", F.col("doc_id").alias("item"), "rank")
+    gold = hits.where("item % 2 = 0").select("query_id", "item", F.when(F.col("item") % 3 == 0, 2).otherwise(1).alias("gain"))
+    missing = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(-1).cast("long").alias("item"), F.lit(1).alias("gain"))
+    return evaluation.score_lists(hits, gold.unionByName(missing))
+
+
+@query
+def mean_metrics_by_group(t: Tables) -> DataFrame:
+    """Means of a metric by split, nulls left out."""
+    return t.labels.groupBy((F.col("doc_id") % 2).alias("split")).agg(F.round(F.avg("quality"), 9).alias("quality"), F.round(F.avg("toxic"), 9).alias("toxic"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def config_grid(t: Tables) -> DataFrame:
+    """Every configuration on the same lists, in one job; the smallest near-best weights win."""
+    grid = evaluation.grid(t.spark, {"graph": [0.0, 0.5, 1.0], "prior": [0.0, 0.002], "rerank": [0.0, 1.0]})
+    rows = t.part.select((F.col("p_size") % 5).alias("query_id"), "p_partkey", (1.0 / (60 + F.col("p_size"))).alias("base"), (F.col("p_partkey") % 7 == 0).alias("gold"))
+    return evaluation.tune(rows, grid)
+
+
+# --- sequential text logic: rows only ----------------------------------------------------------------------------
+
+
+@query
+def chunk_windows(t: Tables) -> DataFrame:
+    return chunking.chunks(t.documents).select("doc_id", "chunk_no", "para_no", "para_end", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
