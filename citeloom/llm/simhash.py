@@ -194,8 +194,88 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keyed_join(prints, mapped, ["fp"], "left", F.col("doc_id"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest id; all columns stay."""
-    groups = near_groups(docs, id_col, text_col, width, radius)
-    gone = stored(groups.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "simhash-gone", narrow=True)
+#: Seeds of the fingerprints that look for candidates of a given similarity, and that similarity.
+WORD_SEEDS = (42, 43)
+SIMILARITY = 0.8
+
+
+def word_set_fingerprint(text: str | None, seed: int) -> int:
+    """SimHash of the set of words of a whole text, A-Z lower-cased; 0 without words."""
+    words = sorted(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
+    if not words:
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(words), _ROWS):
+        part = np.array([xxhash.xxh64_intdigest(w, seed) for w in words[at : at + _ROWS]], np.uint64)
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(ones * 2 > len(words), bitorder="little").view(np.uint64)[0])
+
+
+def shingle_similarity(a: str | None, b: str | None, width: int = 5) -> float:
+    """Jaccard similarity of the word shingles of two whole texts; 1 if neither has a word."""
+    sets = []
+    for text in (a, b):
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        sets.append({b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    union = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / union if union else 1.0
+
+
+def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = WORD_SEEDS, radius: int = RADIUS) -> DataFrame:
+    """``(a, b)`` of ids whose word-set fingerprints of some seed are linked; equal fingerprints link to their first id.
+
+    A changed word changes one element of the word set but five shingles, so texts of similarity 0.8 are a few bits
+    apart here where fingerprints of five-word shingles are some ten bits apart.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            found = [pa.array(np.array([word_set_fingerprint(t, seed) for t in texts], np.uint64).view(np.int64)) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([b.column(0), *found], names=["doc_id", *(f"fp{i}" for i in range(len(seeds)))])
+
+    prints = stored(rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"fp{i} long" for i in range(len(seeds)))), "near-docs")
+    out = None
+    for i in range(len(seeds)):
+        mine = prints.select("doc_id", F.col(f"fp{i}").alias("fp"))
+        distinct = stored(mine.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "near-distinct", narrow=True)
+        shared = distinct.where("n > 1").select("fp", "first_id")
+        same = keyed_join(mine, shared, ["fp"], "inner", F.col("doc_id")).where("doc_id != first_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
+        found = stored(links(distinct.select("fp"), radius), "near-links", narrow=True)
+        ids = distinct.select("fp", "first_id")
+        left = found.join(ids.select(F.col("fp").alias("a"), F.col("first_id").alias("x")), "a")
+        both = left.join(ids.select(F.col("fp").alias("b"), F.col("first_id").alias("y")), "b")
+        pairs = same.unionByName(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        out = pairs if out is None else out.unionByName(pairs)
+    return stored(out.distinct(), "near-pairs", narrow=True)
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = SIMILARITY) -> DataFrame:
+    """The pairs whose whole texts have at least this similarity of word shingles."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-ids", narrow=True)
+    texts = keyed_join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ids, ["doc_id"], "left_semi")
+    texts = stored(texts.dropDuplicates(["doc_id"]), "near-texts")
+    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [shingle_similarity(x, y, width) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    kinds = dict(pairs.dtypes)
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, the one with the smallest id; all columns stay.
+
+    Candidates meet by SimHash of their word sets; a pair links if its five-word shingles are at least ``least``
+    similar.  Texts without words are equal to each other and to nothing else.
+    """
+    pairs = candidate_pairs(docs, id_col, text_col)
+    linked = stored(similar_pairs(docs, pairs, id_col, text_col, width, least), "near-verified", narrow=True)
+    roots = components(linked, "near-components")
+    gone = stored(roots.where("node != root").select(F.col("node").alias(id_col)), "near-gone", narrow=True)
     return keyed_join(docs, gone, [id_col], "left_anti")

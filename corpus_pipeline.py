@@ -30,7 +30,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates by SimHash over five-word shingles, the document with the smallest id stays."""
+    """Of near-duplicates (SimHash candidates, five-word shingles 0.8 similar), the document with the smallest id stays."""
     return drop_near(docs)
 
 
