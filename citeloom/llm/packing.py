@@ -120,7 +120,7 @@ def linear_groups(counts: dict[int, int], limit: int, groups: int) -> list[tuple
         while n:
             if not room:
                 out.append((s, []))
-                room = total * len(out) // groups - done or 1
+                room = max(1, total * len(out) // groups - done)
             k = min(n, room)
             out[-1][1].append((s, k))
             n, room, done = n - k, room - k, done + k
