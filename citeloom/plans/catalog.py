@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions import chunking, text
-from citeloom.operators import evaluation, graph, lexical, ranking, vector
+from citeloom.functions import chunking, laws, text
+from citeloom.operators import briefs, evaluation, graph, lexical, lookup, ranking, vector
 from citeloom.plans.catalog_sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,4 +436,46 @@ def chunk_windows(t: Tables) -> DataFrame:
     return chunking.chunks(t.documents).select("doc_id", "chunk_no", "para_no", "para_end", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+LAWS = [
+    ("Income Tax Act", "I-3.3", "act", "federal"),
+    ("Income Tax Act", "RSO1990cI2", "act", "ontario"),
+    ("Immigration and Refugee Protection Act", "I-2.5", "act", "federal"),
+    ("Constitution Act, 1982", "CONST-1982", "constitution", "federal"),
+]
+SAID = [
+    (-1, "See Income Tax Act, s. 18(1)(a) and 18(1)(h), and s. 97 of IRPA; a breach of section 8 of the Charter"),
+    (-2, "Income Tax Act, R.S.O. 1990, c. I.2, s. 4; under subsection 3(1) of the Act"),
+    (-3, "Hobbs v. TDI Canada Ltd. (2004), 246 D.L.R. (4th) 43 (Ont. C.A.)"),
+]
+
+
+@query
+def section_references(t: Tables) -> DataFrame:
+    """References of all documents and of a few statements that have some."""
+    said = t.spark.createDataFrame(SAID, "doc_id long, text string")
+    return laws.section_references(t.documents.select("doc_id", "text").unionByName(said), laws.LawIndex.from_rows(LAWS))
+
+
+@query
+def name_lookup(t: Tables) -> DataFrame:
+    """Parts looked up by key, name or keywords."""
+    cases = t.part.select(
+        F.col("p_partkey").alias("case_id"), F.concat(F.lit("2001 SCC "), F.col("p_partkey").cast("string")).alias("citation"),
+        F.lit(None).cast("string").alias("citation2"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.col("p_size").alias("cited_by_count"),
+    )
+    asked = t.part.where("p_partkey <= 3").select(F.col("p_partkey").cast("string").alias("query_id"), F.col("p_name").alias("text"))
+    more = t.spark.createDataFrame([("c", "2001  CSC 7"), ("k", "zzz steel")], "query_id string, text string")
+    return lookup.lookup(cases, asked.unionByName(more))
+
+
+@query
+def brief_verify(t: Tables) -> DataFrame:
+    """Every document's first words as an item on its first passage and its source as a party."""
+    chunks = chunking.chunks(t.documents)
+    items = t.documents.where("text is not null").select("doc_id", F.lit("issues").alias("section"), F.lit(0).alias("idx"), F.lit(1).alias("anchor"), F.substring("text", 1, 120).alias("text"))
+    names = t.documents.select("doc_id", F.lit("party").alias("kind"), F.lit(0).alias("idx"), F.col("source").alias("name"))
+    out = briefs.summary(briefs.verify_items(items, briefs.anchors(chunks)), briefs.names_in_text(names, t.documents))
+    return out.select("doc_id", "problems", "words", "too_long", F.size("warnings").alias("n_warnings"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
