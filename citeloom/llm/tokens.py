@@ -27,15 +27,14 @@ def _byte_of() -> dict[str, int]:
 class ByteBpe:
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {x["content"] for x in spec.get("added_tokens", [])}
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the file's byte-level splitter
-        self.exact = Tokenizer.from_file(path)
         self.quick = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
         self.special = special
         self.size_of = np.zeros(max(ranks.values()) + 1 + len(special) + 1, np.int64)
@@ -49,6 +48,13 @@ class ByteBpe:
     def load(cls, path: str) -> ByteBpe:
         return cls(path)
 
+    @functools.cached_property
+    def exact(self) -> object:
+        """The file's own library, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         if _FAR.search(text) or any(s in text for s in self.special):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
