@@ -71,13 +71,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def variants(blocks: int = BLOCKS) -> list[tuple[int, int]]:
+def variants(blocks: int = BLOCKS, bits: int = 64) -> list[tuple[int, int]]:
     """(mask, flip) of each variant ``(fp & mask) ^ flip``; a flip also carries the number of the masked block."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
+    edges = [bits * i // blocks for i in range(blocks + 1)]
     out = []
     for b in range(blocks):
         hole = sum(1 << i for i in range(edges[b], edges[b + 1]))
-        out += [(~hole & (1 << 64) - 1, (b << edges[b]) ^ flip) for flip in [0, *(1 << i for i in range(64) if not hole >> i & 1)]]
+        out += [(~hole & (1 << bits) - 1, (b << edges[b]) ^ flip) for flip in [0, *(1 << i for i in range(bits) if not hole >> i & 1)]]
     return out
 
 
@@ -143,9 +143,9 @@ def _linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[list[np.nda
     return a, b
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(a, b)``: links among distinct ``fp`` values that connect whatever lies within ``radius`` bits."""
-    keys = [F.col("fp").bitwiseAND(F.lit(_signed(m))).bitwiseXOR(F.lit(_signed(f))) for m, f in variants()]
+def links(distinct: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:
+    """``(a, b)``: links among distinct ``fp`` values of ``bits`` bits that connect whatever lies within ``radius`` of them."""
+    keys = [F.col("fp").bitwiseAND(F.lit(_signed(m))).bitwiseXOR(F.lit(_signed(f))) for m, f in variants(bits=bits)]
     met = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,21 +194,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keyed_join(prints, mapped, ["fp"], "left", F.col("doc_id"))
 
 
-#: Seeds of the fingerprints that look for candidates of a given similarity, and that similarity.
-WORD_SEEDS = (42, 43)
+#: The fingerprints that look for candidates of a given similarity: how many, bits of each, words of their shingles.
+SLICES, SLICE_BITS, SLICE_WORDS = 5, 44, 2
 SIMILARITY = 0.8
 
 
-def word_set_fingerprint(text: str | None, seed: int) -> int:
-    """SimHash of the set of words of a whole text, A-Z lower-cased; 0 without words."""
-    words = sorted(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
+def slice_fingerprints(text: str | None, slices: int = SLICES, bits: int = SLICE_BITS, width: int = SLICE_WORDS) -> list[int]:
+    """Independent SimHash fingerprints of the set of word shingles of a whole text, A-Z lower-cased; 0 without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(words), _ROWS):
-        part = np.array([xxhash.xxh64_intdigest(w, seed) for w in words[at : at + _ROWS]], np.uint64)
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > len(words), bitorder="little").view(np.uint64)[0])
+        return [0] * slices
+    whole = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    n = max(1, len(words) - width + 1)
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    stops = ends[-n:].tolist()
+    shingles = list({whole[a:b] for a, b in zip(starts, stops, strict=True)})
+    digest, seeds = xxhash.xxh3_128_digest, range(SEED, SEED + -(-slices * bits // 128))
+    ones = np.zeros(128 * len(seeds), np.int64)
+    for at in range(0, len(shingles), _ROWS):
+        part = np.frombuffer(b"".join([digest(x, seed) for x in shingles[at : at + _ROWS] for seed in seeds]), np.uint8)
+        ones += np.unpackbits(part.reshape(-1, 16 * len(seeds)), axis=1).sum(axis=0, dtype=np.int32)
+    chosen = (ones * 2 > len(shingles))[: slices * bits].reshape(slices, bits)
+    return [int(v) for v in chosen.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))]
 
 
 def shingle_similarity(a: str | None, b: str | None, width: int = 5) -> float:
@@ -221,29 +229,31 @@ def shingle_similarity(a: str | None, b: str | None, width: int = 5) -> float:
     return len(sets[0] & sets[1]) / union if union else 1.0
 
 
-def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = WORD_SEEDS, radius: int = RADIUS) -> DataFrame:
-    """``(a, b)`` of ids whose word-set fingerprints of some seed are linked; equal fingerprints link to their first id.
+def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slices: int = SLICES, bits: int = SLICE_BITS, radius: int = RADIUS) -> DataFrame:
+    """``(a, b)`` of ids that have a linked fingerprint; equal fingerprints link to their first id.
 
-    A changed word changes one element of the word set but five shingles, so texts of similarity 0.8 are a few bits
-    apart here where fingerprints of five-word shingles are some ten bits apart.
+    A changed word changes five shingles of five words but two of two, and a fingerprint of 44 bits has fewer bits to
+    differ in than one of 64: texts of similarity 0.8 differ in 3.6 bits of it on average, and five independent ones
+    leave few pairs that are above ``radius`` in all.  ``bits`` is the price: two unrelated fingerprints of 44 bits lie
+    within 3 bits once in 1.2 billion pairs, so beyond some hundred million documents take 48 or more and more slices.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
+    names = [f"fp{i}" for i in range(slices)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            found = [pa.array(np.array([word_set_fingerprint(t, seed) for t in texts], np.uint64).view(np.int64)) for seed in seeds]
-            yield pa.RecordBatch.from_arrays([b.column(0), *found], names=["doc_id", *(f"fp{i}" for i in range(len(seeds)))])
+            found = np.array([slice_fingerprints(t, slices, bits) for t in b.column(1).to_pylist()], np.int64).reshape(-1, slices)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in found.T)], names=["doc_id", *names])
 
-    prints = stored(rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"fp{i} long" for i in range(len(seeds)))), "near-docs")
+    prints = stored(rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{name} long" for name in names)), "near-docs")
     out = None
-    for i in range(len(seeds)):
-        mine = prints.select("doc_id", F.col(f"fp{i}").alias("fp"))
+    for name in names:
+        mine = prints.select("doc_id", F.col(name).alias("fp"))
         distinct = stored(mine.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "near-distinct", narrow=True)
         shared = distinct.where("n > 1").select("fp", "first_id")
         same = keyed_join(mine, shared, ["fp"], "inner", F.col("doc_id")).where("doc_id != first_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
-        found = stored(links(distinct.select("fp"), radius), "near-links", narrow=True)
+        found = stored(links(distinct.select("fp"), radius, bits), "near-links", narrow=True)
         ids = distinct.select("fp", "first_id")
         left = found.join(ids.select(F.col("fp").alias("a"), F.col("first_id").alias("x")), "a")
         both = left.join(ids.select(F.col("fp").alias("b"), F.col("first_id").alias("y")), "b")
@@ -271,7 +281,7 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", tex
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id; all columns stay.
 
-    Candidates meet by SimHash of their word sets; a pair links if its five-word shingles are at least ``least``
+    Candidates meet by SimHash of their two-word shingles; a pair links if its five-word shingles are at least ``least``
     similar.  Texts without words are equal to each other and to nothing else.
     """
     pairs = candidate_pairs(docs, id_col, text_col)
