@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NEAR_TIE = 0.01
@@ -54,3 +54,41 @@ def tune(rows: DataFrame, configs: DataFrame, digits: int = 9) -> DataFrame:
     near = joined.withColumn("_one", F.lit(1)).join(F.broadcast(best), "_one").withColumn("near", F.col("mrr") >= F.col("best") - NEAR_TIE)
     chosen = near.where("near").orderBy("weight", "config_id").limit(1).select("config_id", F.lit(True).alias("chosen"))
     return near.join(F.broadcast(chosen), "config_id", "left").select("config_id", "mrr", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+def flag_rate(gold: DataFrame, found: DataFrame, digits: int = 9) -> DataFrame:
+    """``query_id, n_gold, rate``: share of the gold authorities that a found one names.
+
+    ``gold(query_id, citation, name)``, ``found(query_id, citation, title)``.  One names another if its normalised
+    citation contains the gold one's, or the first parties are equal; null counts as empty, an empty gold citation or
+    party matches nothing.  Both sides meet by query, so a query's two short lists are compared and nothing else.
+    """
+    def citation(c: Column) -> Column:
+        bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"\(CanLII\)", "")
+        return F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
+
+    def party(c: Column) -> Column:
+        first = F.split(F.trim(F.split(F.lower(F.coalesce(c, F.lit(""))), " v").getItem(0)), r"\s+").getItem(0)
+        return F.regexp_replace(first, "[^a-z]", "")
+
+    wanted = gold.select("query_id", F.col("citation").alias("gold_citation"), citation(F.col("citation")).alias("_c"), party(F.col("name")).alias("_p"))
+    seen = found.select("query_id", citation(F.col("citation")).alias("_fc"), party(F.col("title")).alias("_fp"))
+    hit = ((F.col("_c") != "") & F.col("_fc").contains(F.col("_c"))) | ((F.col("_p") != "") & (F.col("_p") == F.col("_fp")))
+    flagged = wanted.join(seen, "query_id", "left").groupBy("query_id", "gold_citation").agg(F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias("flagged"))
+    return flagged.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"), F.round(F.avg("flagged"), digits).alias("rate"))
+
+
+def issue_coverage(gold: DataFrame, shown: DataFrame, digits: int = 9) -> DataFrame:
+    """``query_id, tagged, covered, coverage``: issues tagged on gold items that some shown gold item covers.
+
+    ``gold(query_id, item, issues array)``, ``shown(query_id, item)``; coverage is null without tagged issues.
+    """
+    here = gold.join(shown.select("query_id", "item", F.lit(True).alias("_shown")).distinct(), ["query_id", "item"], "left")
+    each = here.select("query_id", F.explode_outer("issues").alias("issue"), "_shown")
+    out = each.groupBy("query_id").agg(F.count_distinct("issue").alias("tagged"), F.count_distinct(F.when(F.col("_shown"), F.col("issue"))).alias("covered"))
+    return out.withColumn("coverage", F.round(F.when(F.col("tagged") > 0, F.col("covered") / F.col("tagged")), digits))
+
+
+def intake_scores(scores: DataFrame, floor: float = 0.95, digits: int = 9) -> DataFrame:
+    """Per format: mean and least agreement and how many fall below ``floor``: ``scores(fmt, score)``."""
+    return scores.groupBy("fmt").agg(F.round(F.avg("score"), digits).alias("mean"), F.min("score").alias("least"), F.count_if(F.col("score") < floor).alias("flagged"))
