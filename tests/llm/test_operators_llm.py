@@ -182,6 +182,21 @@ def test_slices_meet_at_the_least_similarity():
     assert slice_fingerprints("One two") == slice_fingerprints("one\ttwo") != slice_fingerprints("one") != [0] * 5
 
 
+def test_near_dedup_finds_block_edits(spark):
+    """Paragraphs put in front, behind or inside, cut or replaced, and single words, all at similarity 0.80 to 0.85."""
+    texts = []
+    for seed in range(30):
+        body, other = prose(2000 + seed, 300, 5000).split(), prose(7000 + seed, 80, 5000).split()
+        edits = [other[:60] + body, body + other[:60], body[:150] + other[:50] + body[150:], body[:100] + body[150:], body[:120] + other[:28] + body[148:]]
+        scattered = list(body)
+        for at in range(20, 300, 50):
+            scattered[at] = f"new{at}"
+        texts += [" ".join(body), " ".join([*edits, scattered][seed % 6])]
+        assert 0.8 <= shingle_similarity(texts[-2], texts[-1]) < 0.85
+    kept = {r["doc_id"] for r in drop_near(table(spark, texts)).collect()}
+    assert kept == set(range(0, 60, 2))
+
+
 def test_wavelet_tree_ranks():
     rng = np.random.default_rng(2)
     symbols = rng.integers(0, 37, 700)
