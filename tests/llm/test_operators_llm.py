@@ -182,6 +182,17 @@ def test_slices_meet_at_the_least_similarity():
     assert slice_fingerprints("One two") == slice_fingerprints("one\ttwo") != slice_fingerprints("one") != [0] * 5
 
 
+def brute_near(texts, least=0.8):
+    """Ids that stay: the least of each group of pairs that are similar by their whole shingle sets."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    linked = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    return {i for i, r in enumerate(root) if i == r}, linked
+
+
 def test_near_dedup_finds_block_edits(spark):
     """Paragraphs put in front, behind or inside, cut or replaced, and single words, all at similarity 0.80 to 0.85."""
     texts = []
@@ -197,6 +208,23 @@ def test_near_dedup_finds_block_edits(spark):
     assert kept == set(range(0, 60, 2))
 
 
+def test_near_dedup_links_members_whose_first_is_unlike(spark):
+    """Crowded meeting points: pairs that only link to each other, not to the point's first document."""
+    rng = np.random.default_rng(8)
+    common, texts = prose(31, 100, 5000).split(), []
+    for n in range(14):  # pairs of one passage in common and 0.8 similar each to the other only
+        own = prose(3000 + n, 60, 5000).split()
+        texts += [" ".join(common + own), " ".join(common + own + prose(4000 + n, 20, 5000).split())]
+    for n in range(40):  # edited copies, some further from the first than from each other
+        words = list(common)
+        for at in rng.choice(100, 1 + n % 4, replace=False):
+            words[at] = f"x{n % 7}.{at}"
+        texts.append(" ".join(words))
+    texts += [None, "", "a b", "A  b", "a b c"]
+    expected, linked = brute_near(texts)
+    assert linked and {r["doc_id"] for r in drop_near(table(spark, texts)).collect()} == expected
+
+
 def test_wavelet_tree_ranks():
     rng = np.random.default_rng(2)
     symbols = rng.integers(0, 37, 700)
