@@ -36,7 +36,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from citeloom.llm.max_plus import decode, encode
+    from citeloom.llm.bpe import encode
+    from citeloom.llm.max_plus import decode
 
     model = _tokenizer("piece_bpe_32k.model")
     out = decode(encode(_table(spark, sf_dir, "documents"), model), model)

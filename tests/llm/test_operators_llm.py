@@ -368,6 +368,21 @@ def test_max_plus_scan_equals_the_whole_path(spark, texts):
     assert {r["doc_id"]: r["text"] for r in decode(encode(table(spark, texts), path), path).collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_sentencepiece_ids_are_the_library_s(spark, texts, tmp_path):
+    import sentencepiece
+
+    from citeloom.llm.queries import op3_sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    more = [*texts, " ", "a ", "  two  marks ", "naïve ☃ 日本語\n\ttab", "a▁b ▁c", "unbelievable internationalization of the segmentation"]
+    table(spark, more).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    ids = spark.createDataFrame([(i, sp.encode(t or "")) for i, t in enumerate(more)], "doc_id long, ids array<int>")
+    expected = ids.select("doc_id", F.size("ids").cast("long"), F.xxhash64("ids"), F.lit(0)).collect()
+    out = op3_sentencepiece(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r)[:3] for r in out) == sorted(tuple(r)[:3] for r in expected)
+    assert {r["doc_id"]: r["decoded_crc32"] for r in out} == {i: zlib.crc32((t or "").replace("▁", " ").encode()) for i, t in enumerate(more)}
+
+
 def test_token_counts(spark, texts):
     assert attribute(np.array([3, 4, 3]), np.array([5, 10]), "first").tolist() == [2, 1]
     assert attribute(np.array([3, 4, 3]), np.array([5, 10]), "last").tolist() == [1, 2]
