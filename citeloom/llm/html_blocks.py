@@ -12,9 +12,13 @@ from html.parser import HTMLParser
 import numpy as np
 
 #: Fixed sets of HTML element names.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture source input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture source input math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select datalist option textarea button".split())
+HIDDEN = frozenset("script style noscript template head title svg annotation annotation-xml iframe object canvas audio video select datalist option textarea button".split())
+#: What may stand in a head; any other start tag or text ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Elements in which a tag with a slash at its end is closed at once.
+FOREIGN = frozenset("svg math".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "option": {"option"}}
 _SPACE = re.compile(r"\s+")
@@ -58,7 +62,13 @@ class Blocks(HTMLParser):
         self.hidden -= o.tag in HIDDEN
         self.links -= o.tag == "a"
 
+    def _end_head(self) -> None:
+        if self.open and self.open[-1].tag == "head":
+            self._pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD:
+            self._end_head()
         if tag == "br":
             self.parts.append(" ")
             return
@@ -89,6 +99,8 @@ class Blocks(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and any(o.tag in FOREIGN for o in self.open):
+            self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -102,6 +114,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if not self.hidden:
             self.parts.append(data)
             self.linked += len(data) if self.links else 0

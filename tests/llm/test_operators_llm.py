@@ -409,6 +409,19 @@ def test_html(spark):
     assert [b.text for b in blocks("<ul><li>a<li>b</ul>c")] == ["a", "b", "c"]
 
 
+def test_html_head_without_end_tag_and_foreign_elements():
+    text = lambda html: [b.text for b in blocks(html)]
+    body = "<article><h1>One</h1><p>Two"
+    for start in ("<html><head><title>T</title><body>", "<head><meta charset=x><script>var a;</script>", "<head><title>T</title><style>p{}</style></head><body>", "<head><noscript><img src=x></noscript><body>"):
+        assert text(start + body) == ["One", "Two"], start
+    assert text("<head><title>T</title>loose<p>Two") == ["loose", "Two"]
+    assert text("<head><title>T</title><a href=x>in</a> line") == ["in line"]
+    assert text("<p>a<svg/>b<p>c<math/>d<svg><path/><text>no</text></svg>e") == text("<p>a<svg></svg>b<p>c<math></math>d<svg><path></path><text>no</text></svg>e") == ["a", "b", "cd", "e"]
+    assert " ".join(text("<div>a<svg/>b</div>")) == "a b" and " ".join(text("<div>a<svg><g/>no</svg>b</div>")) == "a b"
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math> holds") == ["so x=2 holds"]
+    assert text("<p>go <button>Share</button>") == ["go"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
