@@ -458,12 +458,12 @@ def section_references(t: Tables) -> DataFrame:
 
 @query
 def name_lookup(t: Tables) -> DataFrame:
-    """Parts looked up by key, name or keywords."""
+    """Parts looked up by key, name or keywords; asked are the names of all parts whose key is divisible by 20."""
     cases = t.part.select(
         F.col("p_partkey").alias("case_id"), F.concat(F.lit("2001 SCC "), F.col("p_partkey").cast("string")).alias("citation"),
         F.lit(None).cast("string").alias("citation2"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.col("p_size").alias("cited_by_count"),
     )
-    asked = t.part.where("p_partkey <= 3").select(F.col("p_partkey").cast("string").alias("query_id"), F.col("p_name").alias("text"))
+    asked = t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").cast("string").alias("query_id"), F.col("p_name").alias("text"))
     more = t.spark.createDataFrame([("c", "2001  CSC 7"), ("k", "zzz steel")], "query_id string, text string")
     return lookup.lookup(cases, asked.unionByName(more))
 
