@@ -19,6 +19,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 #: A side of at most this many narrow rows (some tens of MB) may be broadcast; it is counted first.
 BROADCAST_ROWS = 200_000
+#: Rows of one key that a task of ``spread_join`` may hold.
+KEY_ROWS = 4_096
 
 
 def long_texts(spark: SparkSession) -> SparkSession:
@@ -29,8 +31,10 @@ def long_texts(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share; a local folder serves only where all run on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or os.path.join(tempfile.gettempdir(), "citeloom-checkpoints")
 
 
@@ -67,17 +71,47 @@ def keyed_join(
     salt_by: Column | None = None,
     right_rows: int | None = None,
     salts: int = 8,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join a large table with one that is unique on ``keys``, safe when one key holds a third of ``left``.
 
-    ``right`` is counted: up to BROADCAST_ROWS rows it is broadcast (no shuffle of ``left`` at all).  Beyond that
-    ``left`` is spread over ``salts`` sub-keys by ``salt_by`` and ``right`` is repeated once for each of them.
+    ``right`` is counted: up to ``broadcast_rows`` rows it is broadcast (no shuffle of ``left`` at all).  Beyond that
+    ``left`` is spread over ``salts`` sub-keys by ``salt_by`` and ``right`` is repeated once for each of them.  The
+    columns of ``left`` may have any names.
     """
     rows = right.count() if right_rows is None else right_rows
-    if rows <= BROADCAST_ROWS:
+    if rows <= broadcast_rows:
         return left.join(F.broadcast(right), keys, how)
     if salt_by is None:
         return left.join(right, keys, how)
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+    salt = unused("_salt", [*left.columns, *right.columns])
+    spread = left.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [*keys, salt], how).drop(salt)
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column of ``taken`` has it (Spark's names ignore case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt_by: Column, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Inner join of narrow rows with wide ones on a key that may be hot in ``left`` and is not in ``right``.
+
+    Keys with more than ``key_rows`` rows in ``left`` are dealt over as many sub-keys as that takes, and only their
+    rows of ``right`` are repeated, so splits grow with the key and nothing else is copied.
+    """
+    heavy = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > key_rows).select(key, F.ceil(F.col("rows") / key_rows).cast("int").alias("parts"))
+    heavy = stored(heavy, "heavy-keys", narrow=True)
+    count = heavy.count()
+    if not count:
+        dropped(heavy)
+        return left.join(right, key)
+    if count <= BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
+    dealt = left.join(heavy, key, "left").withColumn("part", F.pmod(F.xxhash64(salt_by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = right.join(heavy, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [key, "part"]).drop("part")

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import dropped, keyed_join, stored
+from citeloom.llm.common import dropped, spread_join, stored
+
+#: Edges of one node that a task may hold.
+HUB_ROWS = 262_144
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,8 +21,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
-    joined = near.join(least, "u")
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    joined = spread_join(near, least, "u", F.col("v"), HUB_ROWS)  # a hub may have a third of all edges
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -47,9 +50,3 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         state = seen
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-
-
-def with_roots(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """``nodes`` with a column ``root``: the root of ``key``, or ``key`` itself where it has no edge."""
-    found = stored(components(edges), "roots", narrow=True)
-    return keyed_join(nodes, found.withColumnRenamed("node", key), [key], "left").withColumn("root", F.coalesce("root", key))

@@ -35,24 +35,34 @@ PROBE = 43_745
 _ROWS = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of the word shingles of a whole text, A-Z lower-cased; 0 without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the word shingles of a whole text in order, repeats included, A-Z lower-cased; none without words.
+
+    Fewer words than ``width`` are one shingle.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
     if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return digest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
-    stops = ends[width - 1 :].tolist()
+    n = max(1, len(words) - width + 1)
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist(), strict=True)), np.uint64, n)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have set; 0 without hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(starts), _ROWS):
-        part = [digest(whole[a:b], SEED) for a, b in zip(starts[at : at + _ROWS], stops[at : at + _ROWS], strict=True)]
-        bits = np.unpackbits(np.array(part, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), _ROWS):
+        bits = np.unpackbits(hashes[at : at + _ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """SimHash of the word shingles of a whole text, A-Z lower-cased; 0 without words."""
+    return simhash(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -144,7 +154,12 @@ def _linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[list[np.nda
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:
-    """``(a, b)``: links among distinct ``fp`` values of ``bits`` bits that connect whatever lies within ``radius`` of them."""
+    """``(a, b)``: links among distinct ``fp`` values of ``bits`` bits that connect whatever lies within ``radius`` of them.
+
+    The variants cover RADIUS bits; a smaller radius is verified, a larger one refused.
+    """
+    if radius > RADIUS:
+        raise ValueError(f"radius: at most {RADIUS}, which the variants cover")
     keys = [F.col("fp").bitwiseAND(F.lit(_signed(m))).bitwiseXOR(F.lit(_signed(f))) for m, f in variants(bits=bits)]
     met = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
 
@@ -192,245 +207,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mapped = stored(joined.join(least, "root").select("fp", "component_id"), "simhash-components", narrow=True)
     dropped(joined)
     return keyed_join(prints, mapped, ["fp"], "left", F.col("doc_id"))
-
-
-#: Sliced fingerprints, which the pipeline no longer uses: how many, bits of each, words of their shingles.
-SLICES, SLICE_BITS, SLICE_WORDS = 5, 44, 2
-SIMILARITY = 0.8
-
-
-def slice_fingerprints(text: str | None, slices: int = SLICES, bits: int = SLICE_BITS, width: int = SLICE_WORDS) -> list[int]:
-    """Independent SimHash fingerprints of the set of word shingles of a whole text, A-Z lower-cased; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return [0] * slices
-    whole = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = max(1, len(words) - width + 1)
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    stops = ends[-n:].tolist()
-    shingles = list({whole[a:b] for a, b in zip(starts, stops, strict=True)})
-    digest, seeds = xxhash.xxh3_128_digest, range(SEED, SEED + -(-slices * bits // 128))
-    ones = np.zeros(128 * len(seeds), np.int64)
-    for at in range(0, len(shingles), _ROWS):
-        part = np.frombuffer(b"".join([digest(x, seed) for x in shingles[at : at + _ROWS] for seed in seeds]), np.uint8)
-        ones += np.unpackbits(part.reshape(-1, 16 * len(seeds)), axis=1).sum(axis=0, dtype=np.int32)
-    chosen = (ones * 2 > len(shingles))[: slices * bits].reshape(slices, bits)
-    return [int(v) for v in chosen.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))]
-
-
-def shingle_similarity(a: str | None, b: str | None, width: int = 5) -> float:
-    """Jaccard similarity of the word shingles of two whole texts; 1 if neither has a word."""
-    sets = []
-    for text in (a, b):
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        sets.append({b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
-    union = len(sets[0] | sets[1])
-    return len(sets[0] & sets[1]) / union if union else 1.0
-
-
-def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text, A-Z lower-cased; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    whole = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = max(1, len(words) - width + 1)
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(whole[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist(), strict=True)], np.uint64))
-
-
-#: A shingle met so often is frequent and comes late in the order of shingles; at most so many are told apart.
-FREQUENT, FREQUENT_ROWS = 16, 1 << 20
-#: Shingles that a task counts at a time.
-_COUNTED = 1 << 21
-
-
-def frequent_shingles(docs: DataFrame, text_col: str = "text", width: int = 5) -> np.ndarray:
-    """Hashes of frequent shingles, rarest first.
-
-    Tasks count in parts and leave out what a part has once, so some frequent ones may be missing: they make the order
-    of ``prefix`` good, and any order gives the same pairs.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
-
-        size = 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held.append(shingle_hashes(t, width))
-                size += len(held[-1])
-                if size >= _COUNTED:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    least = FREQUENT
-    counted = stored(counted.where(F.col("n") >= least), "near-frequent", narrow=True)
-    while counted.where(F.col("n") >= least).count() > FREQUENT_ROWS:
-        least *= 2
-    found = counted.where(F.col("n") >= least).toArrow()
-    dropped(counted)
-    keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    return keys[np.lexsort((keys, n))]
-
-
-def overlap(a: np.ndarray | int, b: np.ndarray | int, least: float = SIMILARITY) -> np.ndarray:
-    """Shingles that two sets of these sizes share at least if their Jaccard similarity is ``least``."""
-    return np.ceil(least / (1 + least) * (np.asarray(a) + b) - 1e-9).astype(np.int64)
-
-
-def prefix(shingles: np.ndarray, late: np.ndarray, late_rank: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """The first shingles of a set in the common order, as many as a set of that similarity must share one of.
-
-    The order: what is not in ``late`` (sorted), by hash, then ``late`` by rank.
-    """
-    n = len(shingles)
-    if len(late):
-        at = np.minimum(np.searchsorted(late, shingles), len(late) - 1)
-        known = late[at] == shingles
-        shingles = np.concatenate((shingles[~known], shingles[known][np.argsort(late_rank[at[known]])]))
-    return shingles[: n - int(np.ceil(least * n - 1e-9)) + 1]
-
-
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first one, cut so that each key's rows come together."""
-    kept: list[list[np.ndarray]] = []
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(columns[0]):
-            continue
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        if kept and (cut or columns[0][0] != kept[0][0][-1]):
-            yield [np.concatenate(c) for c in zip(*kept, [x[:cut] for x in columns], strict=True)]
-            kept = []
-        elif cut:
-            yield [x[:cut] for x in columns]
-        kept.append([x[cut:] for x in columns])
-    if kept:
-        yield [np.concatenate(c) for c in zip(*kept, strict=True)]
-
-
-def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)`` of ids that may be similar, and the rows of crowded meeting points for ``crossing_pairs``.
-
-    Prefix filtering, which loses no pair: shingles have one order for all texts, and of two sets of Jaccard similarity
-    ``least`` the first shared shingle stands so early in both that the rest can still hold what they must share
-    (``overlap``).  Each text sends the shingles of its prefix, about a fifth of them at 0.8, and texts meet on them.
-    Up to SMALL texts pair each with each; of more, all pair with the first.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    frequent = frequent_shingles(docs, text_col, width)
-    order = np.argsort(frequent)
-    held = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, rank = held.value
-        for b in batches:
-            sets = [shingle_hashes(t, width) for t in b.column(1).to_pylist()]
-            # Texts without words meet on a key of their own.
-            first = [prefix(s, late, rank, least) if len(s) else np.zeros(1, np.uint64) for s in sets]
-            n = np.fromiter(map(len, first), np.int64, len(first))
-            place = np.concatenate([np.arange(x) for x in n]) if len(n) else n
-            sizes = np.repeat(np.fromiter(map(len, sets), np.int64, len(sets)), n)
-            key = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
-            yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(sizes, pa.int32()), pa.array(place, pa.int32())], names=["key", "doc_id", "size", "place"])
-
-    met = rows.mapInArrow(emit, f"key long, doc_id {kind}, size int, place int").repartition("key").sortWithinPartitions("key", "doc_id")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, size, place in _by_key(batches):
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            sizes = np.diff(np.concatenate((starts, [len(key)])))
-            small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-            large = np.repeat(sizes > SMALL, sizes)
-            found = [(x := np.flatnonzero(small[:-shift] & (key[shift:] == key[:-shift])), x + shift) for shift in range(1, min(SMALL, len(key)))]
-            rest = np.flatnonzero(large)
-            found.append((np.repeat(starts, sizes)[rest], rest))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            ok = (ids[a] != ids[b]) & may_be_similar(size[a], place[a], size[b], place[b], least)
-            yield _rows(kind, [key[a[ok]], ids[a[ok]], ids[b[ok]], size[a[ok]], place[a[ok]]], pair=True)
-            yield _rows(kind, [key[rest], ids[rest], ids[rest], size[rest], place[rest]], pair=False)
-
-    both = stored(met.mapInArrow(meet, f"pair boolean, key long, a {kind}, b {kind}, size int, place int"), "near-met")
-    crowded = both.where("not pair").select("key", F.col("a").alias("doc_id"), "size", "place")
-    return stored(both.where("pair").select("a", "b").distinct(), "near-pairs", narrow=True), crowded
-
-
-def _rows(kind: str, columns: list[np.ndarray], pair: bool) -> pa.RecordBatch:
-    arrays = [pa.array(np.full(len(columns[0]), pair)), *map(pa.array, columns)]
-    return pa.RecordBatch.from_arrays(arrays, names=["pair", "key", "a", "b", "size", "place"])
-
-
-def may_be_similar(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """Whether sets whose first shared shingle has these places can be ``least`` similar."""
-    shared = overlap(size_a.astype(np.int64), size_b, least)
-    return ((size_a == 0) & (size_b == 0)) | ((place_a <= size_a - shared) & (place_b <= size_b - shared))
-
-
-def crossing_pairs(crowded: DataFrame, roots: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``(a, b)`` of all texts that share a crowded meeting point, may be similar and are not in one group yet."""
-    kind = dict(crowded.dtypes)["doc_id"]
-    named = crowded.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    open_keys = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    left = stored(named.join(open_keys, "key", "left_semi"), "near-crowded", narrow=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, size, place, root in _by_key(batches):
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                for i in range(at, end - 1):
-                    j = slice(i + 1, end)
-                    ok = (root[j] != root[i]) & may_be_similar(size[i], place[i], size[j], place[j], least)
-                    if ok.any():
-                        b = ids[j][ok]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), ids[i], ids.dtype)), pa.array(b)], names=["a", "b"])
-
-    sorted_rows = left.select("key", "doc_id", "size", "place", "root").repartition("key").sortWithinPartitions("key", "doc_id")
-    return stored(sorted_rows.mapInArrow(run, f"a {kind}, b {kind}").distinct(), "near-crossing", narrow=True)
-
-
-def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose whole texts have at least this similarity of word shingles."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-ids", narrow=True)
-    texts = keyed_join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ids, ["doc_id"], "left_semi")
-    texts = stored(texts.dropDuplicates(["doc_id"]), "near-texts")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [shingle_similarity(x, y, width) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    kinds = dict(pairs.dtypes)
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}")
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest id; all columns stay.
-
-    Two documents link if their five-word shingles are at least ``least`` similar, and every such pair is in one group:
-    what a crowded meeting point left unpaired is paired in a second round, unless the first has joined it.  Texts
-    without words are equal to each other and to nothing else.
-    """
-    pairs, crowded = candidate_pairs(docs, id_col, text_col, width, least)
-    linked = stored(similar_pairs(docs, pairs, id_col, text_col, width, least), "near-verified", narrow=True)
-    roots = stored(components(linked, "near-components"), "near-roots", narrow=True)
-    more = crossing_pairs(crowded, roots, least).join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "near-more", narrow=True)
-    if not more.isEmpty():
-        linked = linked.unionByName(similar_pairs(docs, more, id_col, text_col, width, least))
-        roots = components(linked, "near-components")
-    gone = stored(roots.where("node != root").select(F.col("node").alias(id_col)), "near-gone", narrow=True)
-    return keyed_join(docs, gone, [id_col], "left_anti")

@@ -18,7 +18,8 @@ from citeloom.llm.html_blocks import blocks
 from citeloom.llm.html_lstm import extract, labeller, training_pages
 from citeloom.llm.language_id import identify, keep_identified, learn
 from citeloom.llm.max_plus import Pieces, decode, encode, encode_scan, mark
-from citeloom.llm.simhash import RADIUS, drop_near, fingerprint, forest, links, near_groups, shingle_similarity, slice_fingerprints
+from citeloom.llm.near import drop_near, shingle_similarity
+from citeloom.llm.simhash import fingerprint, forest, links, near_groups
 from citeloom.llm.substring import drop_repeats, substring_dedup
 from citeloom.llm.token_counts import attribute, field_tokens, section_tokens
 from citeloom.llm.topk import top_products
@@ -162,26 +163,6 @@ def test_drop_near_keeps_clean_documents(spark, texts):
     assert 9 not in kept and 8 not in kept and {0, 3, 5, 7, 10, 11, 12, 13, 14, 15, 16} <= kept
 
 
-def test_slices_meet_at_the_least_similarity():
-    """Pairs of 0.8 to 0.9 that some slice brings within the radius, and unrelated texts that none does."""
-    rng = np.random.default_rng(11)
-    near, met = 0, 0
-    for seed in range(60):
-        old = prose(1000 + seed, 200, 5000)
-        words = old.split()
-        for at in rng.choice(200, 4, replace=False):
-            words[at] = f"new{at}"
-        new = " ".join(words)
-        assert 0.8 <= shingle_similarity(old, new) < 0.9
-        a, b, c = map(slice_fingerprints, (old, new, prose(5000 + seed, 200, 5000)))
-        near += 1
-        met += any((x ^ y).bit_count() <= RADIUS for x, y in zip(a, b, strict=True))
-        assert not any((x ^ y).bit_count() <= RADIUS for x, y in zip(a, c, strict=True))
-    assert met >= 0.9 * near
-    assert slice_fingerprints(None) == slice_fingerprints(" \t") == [0] * 5
-    assert slice_fingerprints("One two") == slice_fingerprints("one\ttwo") != slice_fingerprints("one") != [0] * 5
-
-
 def brute_near(texts, least=0.8):
     """Ids that stay: the least of each group of pairs that are similar by their whole shingle sets."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
