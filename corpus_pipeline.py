@@ -14,7 +14,7 @@ from citeloom.llm.exact_dedup import drop_exact
 from citeloom.llm.language_id import keep_identified, learn
 from citeloom.llm.packing import pack_documents
 from citeloom.llm.queries import _tokenizer
-from citeloom.llm.simhash import drop_near
+from citeloom.llm.near import drop_near
 from citeloom.llm.substring import drop_repeats
 
 
