@@ -1,6 +1,7 @@
 """Language identification with hyperdimensional letter profiles.
 
-Every letter has a random vector of +1 and -1 (hashed from its code point, so nothing is stored).  An n-gram is the
+Letters fall into SYMBOLS classes (a to z have one each, all others share the rest by their code point), and every
+class has a seeded random vector of +1 and -1.  An n-gram is the
 product of its letters' vectors, each rotated by its place: binding with permutation.  A document is the sum of its
 n-grams, a language prototype the sum over the documents labelled with it, and the answer is the prototype of the
 largest cosine.  What all languages share is taken from the prototypes first, as the mean of their directions.
@@ -11,6 +12,7 @@ Profiles are exact: the model counts n-grams over every training row.  What a ta
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,34 +28,42 @@ DIMENSIONS = 1_024
 NGRAM = 3
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-#: Texts are coded this many characters at a time; n-grams over a seam are counted with the next part.
+#: Characters that are coded, and n-grams that are counted, at a time.
 _PART = 1 << 20
+#: Cosines of unrelated vectors scatter by 1 / sqrt(DIMENSIONS); a score under three times that fits no learned language.
+FLOOR = 3 / DIMENSIONS**0.5
 
 
-def _classes() -> np.ndarray:
-    """Letter class by code point up to U+FFFF: a-z 1 to 26, accented Latin by rule, others by remainder."""
-    table = np.zeros(0x10000, np.uint8)
-    for cp in range(0x10000):
-        if 0xD800 <= cp < 0xE000:
-            continue
-        c = chr(cp).lower()[:1]
-        if c.isalpha():
-            o = ord(c)
-            table[cp] = o - 96 if 97 <= o <= 122 else 27 + (o * 7) % (SYMBOLS - 27)
-    return table
+def _class_of(point: int) -> int:
+    """Class of a code point: a-z 1 to 26, other letters by remainder, whatever isn't a letter 0."""
+    if 0xD800 <= point < 0xE000:
+        return 0
+    c = chr(point).lower()[:1]
+    if not c.isalpha():
+        return 0
+    o = ord(c)
+    return o - 96 if 97 <= o <= 122 else 27 + (o * 7) % (SYMBOLS - 27)
 
 
-_TABLE: list[np.ndarray] = []
+@functools.cache
+def _table() -> np.ndarray:
+    return np.array([_class_of(p) for p in range(0x10000)], np.uint8)
+
+
+def _classes(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _table()[np.minimum(points, 0xFFFF)]
+    far = np.flatnonzero(points > 0xFFFF)
+    if len(far):
+        values, at = np.unique(points[far], return_inverse=True)
+        out[far] = np.array([_class_of(v) for v in values.tolist()], np.uint8)[at]
+    return out
 
 
 def codes(text: str) -> np.ndarray:
     """Letter classes of a text; runs of other characters are one 0, and a 0 stands at both ends."""
-    if not _TABLE:
-        _TABLE.append(_classes())
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    found = _TABLE[0][np.minimum(points, 0xFFFF)]
-    out = np.zeros(len(found) + 2, np.int64)
-    out[1:-1] = found
+    zero = np.zeros(1, np.uint8)
+    out = np.concatenate([zero, *(_classes(text[at : at + _PART]) for at in range(0, len(text), _PART)), zero])
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
     return out[keep]
@@ -61,18 +71,16 @@ def codes(text: str) -> np.ndarray:
 
 def profile(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes of a whole text and their counts."""
-    total: dict[int, int] = {}
-    for at in range(0, len(text), _PART):
-        c = codes(text[max(0, at - NGRAM + 1) if at else 0 : at + _PART])
-        if len(c) < NGRAM:
-            continue
-        grams = (c[:-2] * SYMBOLS + c[1:-1]) * SYMBOLS + c[2:]
-        if len(text) <= _PART:
-            return np.unique(grams, return_counts=True)
-        for g, n in zip(*(x.tolist() for x in np.unique(grams, return_counts=True)), strict=True):
-            total[g] = total.get(g, 0) + n
-    keys = np.array(sorted(total), np.int64)
-    return keys, np.array([total[k] for k in keys.tolist()], np.int64)
+    c = codes(text)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, max(0, len(c) - NGRAM + 1), _PART):
+        part = c[at : at + _PART + NGRAM - 1].astype(np.int64)
+        found, n = np.unique((part[:-2] * SYMBOLS + part[1:-1]) * SYMBOLS + part[2:], return_counts=True)
+        if at:
+            found, where = np.unique(np.concatenate((keys, found)), return_inverse=True)
+            n = np.bincount(where, np.concatenate((counts, n))).astype(np.int64)
+        keys, counts = found, n
+    return keys, counts
 
 
 def letter_vectors(dimensions: int = DIMENSIONS, seed: int = 7) -> np.ndarray:
@@ -174,14 +182,23 @@ def identify(docs: DataFrame, model: Profiles, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Profiles, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """``docs`` without the rows whose language can't be told (``und``) or whose score is under ``least``."""
+def keep_identified(docs: DataFrame, model: Profiles, text_col: str = "text", least: float = FLOOR) -> DataFrame:
+    """``docs`` without the rows whose language can't be told (``und``) or whose score is under ``least``; all columns stay.
+
+    Defined cases: null, empty and letterless texts go; where no language was learned nothing can be told apart, so all
+    other texts stay; repeated rows are judged each; an empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    def keeps(text: str | None) -> bool:
+        if not held.value.languages:
+            return bool(text and _LETTER.search(text))
+        lang, score = held.value.predict(text)
+        return lang != UNKNOWN and score >= least
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [held.value.predict(t) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            yield b.filter(pa.array([keeps(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
