@@ -1,5 +1,7 @@
-"""A compressed FM-index over word sequences: suffix order, BWT in a wavelet tree, vectorised backward search.
+"""A compressed FM-index over word sequences: BWT in a wavelet tree, vectorised backward search.
 
+The index keeps the wavelet tree, the counts of smaller symbols and the places in suffix order where a new class of
+equal first symbols begins (for parent intervals).  Suffix order and ranks only exist while it is built.
 The tree is stored by levels (a wavelet matrix): one packed bit vector per bit of the symbol, each with a running count
 every 64 bits, so a rank is one lookup and one population count.  All functions work on arrays of positions at once.
 """
@@ -53,8 +55,8 @@ class WaveletTree:
         return p - self.start[symbol]
 
 
-def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array by doubling, and the ranks by the first 1, 2, 4, ... symbols.
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Suffix array by doubling.
 
     Symbol 0 separates texts; each 0 counts as a symbol of its own, smaller than all others, so that no common prefix
     crosses one and suffixes differ within the longest text.
@@ -63,7 +65,6 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     gaps = np.flatnonzero(text == 0)
     rank = text.astype(np.int64) + len(gaps)
     rank[gaps] = np.arange(len(gaps))
-    ranks = [rank]
     width = 1
     while True:
         ahead = np.zeros(n, np.int64)
@@ -71,44 +72,43 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         key = rank * (int(ahead.max()) + 1) + ahead
         order = np.argsort(key, kind="stable")
         ordered = key[order]
-        new = np.concatenate(([False], ordered[1:] != ordered[:-1]))
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        ranks.append(rank)
+        rank[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
         width *= 2
         if rank[order[-1]] == n - 1 or width >= n:
-            return order, ranks
+            return order
+
+
+def class_starts(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Whether each suffix, in order, differs from the one before within the first ``depth`` symbols."""
+    new = np.ones(len(order), bool)
+    same = np.arange(1, len(order))
+    for k in range(depth):
+        symbol = text[order[same] + k]  # a 0 ends every text, and no suffix is followed beyond it
+        same = same[(symbol != 0) & (symbol == text[order[same - 1] + k])]
+    new[same] = False
+    return new
 
 
 class FmIndex:
-    """Index of texts over symbols 1 .. sigma-1, each text followed by a 0."""
+    """Index of texts over symbols 1 .. sigma-1, each text followed by a 0; ``depth``: that of parent intervals."""
 
-    def __init__(self, text: np.ndarray, sigma: int) -> None:
-        self.order, self.ranks = suffix_order(text)
-        before = text[self.order - 1]  # the last text's 0 stands before the first suffix
-        self.tree = WaveletTree(before, sigma)
+    def __init__(self, text: np.ndarray, order: np.ndarray, sigma: int, depth: int) -> None:
+        self.tree = WaveletTree(text[order - 1], sigma)  # the last text's 0 stands before the first suffix
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))[:-1]))
+        new = class_starts(text, order, depth)
+        self.classes = BitVector(new)
+        self.starts = np.append(np.flatnonzero(new), len(order))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with ``symbol`` put before them; empty where low == high."""
         base = self.first[symbol]
         return base + self.tree.rank(symbol, low), base + self.tree.rank(symbol, high)
 
-    def depth_groups(self, depth: int) -> np.ndarray:
-        """For each place in suffix order, the number of its class of equal first ``depth`` symbols."""
-        n = len(self.order)
-        new = np.zeros(n, bool)
-        new[0] = True
-        at, bit = 0, 0
-        while depth >> bit:
-            if depth >> bit & 1:
-                level = self.ranks[min(bit, len(self.ranks) - 1)]
-                where = self.order + at
-                seen = np.where(where < n, level[np.minimum(where, n - 1)], -1 - where)
-                new[1:] |= seen[1:] != seen[:-1]
-                at += 1 << bit
-            bit += 1
-        return np.cumsum(new) - 1
+    def widen(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parent intervals: all suffixes that share the first ``depth`` symbols with the one at ``low``."""
+        group = self.classes.rank1(low + 1) - 1
+        return self.starts[group], self.starts[group + 1]
 
 
 def window_minima(texts: list[np.ndarray], values: np.ndarray, sigma: int, width: int) -> list[np.ndarray]:
@@ -116,23 +116,20 @@ def window_minima(texts: list[np.ndarray], values: np.ndarray, sigma: int, width
 
     Matching statistics cut at ``width``: every text streams backwards through the index of all.  After ``width``
     backward steps its interval is that of its last window; for each window before, the interval is widened to the
-    suffixes that share ``width - 1`` symbols (the parent at that depth) and one more backward step is taken.
+    suffixes that share ``width - 1`` symbols (the parent at that depth) and one more backward step is taken.  The
+    intervals of windows are disjoint or equal, so each one's least value is read once.
     """
     if not texts:
         return []
     lengths = np.array([len(t) for t in texts])
     text = np.concatenate([x for t in texts for x in (t, [0])]).astype(np.int64)
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    owner = np.repeat(np.arange(len(texts)), lengths + 1)
-    index = FmIndex(text, sigma)
-    wide = index.depth_groups(width - 1)
-    wide_at = np.concatenate((np.flatnonzero(np.concatenate(([True], wide[1:] != wide[:-1]))), [len(text)]))
-    full = index.depth_groups(width)
-    full_at = np.flatnonzero(np.concatenate(([True], full[1:] != full[:-1])))
-    least = np.minimum.reduceat(values[owner[index.order]], full_at)
-    out = [np.zeros(max(0, n - width + 1), np.int64) for n in lengths.tolist()]
+    order = suffix_order(text)
+    owned = values[np.repeat(np.arange(len(texts)), lengths + 1)][order]
+    index = FmIndex(text, order, sigma, width - 1)
+    del order
     flat_at = np.concatenate(([0], np.cumsum(np.maximum(lengths - width + 1, 0))))
-    flat = np.zeros(int(flat_at[-1]), np.int64)
+    found_low, found_high = np.zeros(int(flat_at[-1]), np.int64), np.zeros(int(flat_at[-1]), np.int64)
     live = np.flatnonzero(lengths >= width)
     low, high = np.zeros(len(live), np.int64), np.full(len(live), len(text), np.int64)
     for step in range(int(lengths.max())):
@@ -140,11 +137,13 @@ def window_minima(texts: list[np.ndarray], values: np.ndarray, sigma: int, width
         live, low, high = live[more], low[more], high[more]
         at = lengths[live] - 1 - step
         if step >= width:
-            group = wide[low]
-            low, high = wide_at[group], wide_at[group + 1]
+            low, high = index.widen(low)
         low, high = index.extend(text[starts[live] + at], low, high)
         if step >= width - 1:
-            flat[flat_at[live] + at] = least[full[low]]
-    for i in range(len(texts)):
-        out[i] = flat[flat_at[i] : flat_at[i + 1]]
-    return out
+            found_low[flat_at[live] + at], found_high[flat_at[live] + at] = low, high
+    if not len(found_low):
+        return [np.zeros(0, np.int64) for _ in texts]
+    firsts, first_at, where = np.unique(found_low, return_index=True, return_inverse=True)
+    edges = np.stack((firsts, found_high[first_at]), axis=1).ravel()
+    least = np.minimum.reduceat(np.append(owned, owned[-1]), edges)[::2][where]
+    return [least[flat_at[i] : flat_at[i + 1]] for i in range(len(texts))]

@@ -7,10 +7,11 @@ A window is WINDOW consecutive words.  It goes if a document with a smaller id h
 2. The windows that share an anchor occurrence form a segment of at most 2 * WINDOW - GRAM words.  Segments are merged
    by content first, keeping the smallest id, so copies cost one segment however many there are.
 3. Distinct segments are sharded by anchor.  Each shard builds an FM-index of its segments and streams them through it:
-   backward search on a wavelet tree finds each window's interval, and the least id in it.
+   matching statistics by backward search on a wavelet tree give each window's interval of suffixes, and the least id
+   among the owners of these suffixes is the answer.
 4. An anchor with more than HOT distinct segments (a passage that a large part of the corpus quotes in different
-   surroundings) would fill one shard: its segments are cut into single windows, merged by content again and sharded
-   by their own hash.  Nothing is dropped or capped.
+   surroundings) would fill one shard: its segments are cut into single windows, and windows of equal content are
+   grouped by their digest.  A pattern of exactly one window needs no index.  Nothing is dropped or capped.
 5. Documents get their intervals back and cut the covered words.
 """
 
@@ -24,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from citeloom.llm.common import dropped, keyed_join, stored
+from citeloom.llm.common import dropped, keyed_join, stored, unused
 from citeloom.llm.fm_index import window_minima
 
 WINDOW = 50
@@ -110,28 +112,22 @@ def _segments(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """Single windows of segments: ``name, i, key, window, n, content, least``."""
+    """Single windows of segments: ``segment, i, name, least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, place, key, name, content = [], [], [], [], []
+            at, place, name = [], [], []
             for r, c in enumerate(b.column(1).to_pylist()):
                 words = c.split()
                 for i in range(len(words) - window + 1):
-                    text = b" ".join(words[i : i + window])
                     at.append(r)
                     place.append(i)
-                    name.append(xxhash.xxh3_128_digest(text))
-                    key.append(xxhash.xxh64_intdigest(text) >> 1)
-                    content.append(text)
+                    name.append(xxhash.xxh3_128_digest(b" ".join(words[i : i + window])))
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), pa.array(place, pa.int32()), pa.array(key, pa.int64()), pa.array(name, pa.binary()), pa.array([window] * len(at), pa.int32()), pa.array(content, pa.binary()), b.column(2).take(take)],
-                names=["segment", "i", "key", "name", "n", "content", "least"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(place, pa.int32()), pa.array(name, pa.binary()), b.column(2).take(take)], names=["segment", "i", "name", "least"])
 
     kind = dict(rows.dtypes)["least"]
-    return rows.select("name", "content", "least").mapInArrow(run, f"segment binary, i int, key long, name binary, n int, content binary, least {kind}")
+    return rows.select("name", "content", "least").mapInArrow(run, f"segment binary, i int, name binary, least {kind}")
 
 
 def _search(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
@@ -180,7 +176,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     found = _search(keyed_join(segments, crowded, ["key"], "left_anti", F.xxhash64("name"), crowds), window, shard_words)
     if crowds:
         single = stored(_windows(keyed_join(segments, crowded, ["key"], "left_semi", F.xxhash64("name"), crowds), window), "sub-windows")
-        least = stored(_search(stored(_merged(single), "sub-single"), window, shard_words).select("name", F.col("minima")[0].alias("m")), "sub-window-minima")
+        least = stored(single.groupBy("name").agg(F.min("least").alias("m")), "sub-window-minima")
         back = keyed_join(single.select("segment", "i", "name"), least, ["name"], "inner", F.xxhash64("segment", "i"))
         ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"])
         found = found.unionByName(back.groupBy("segment").agg(ordered.alias("minima")).withColumnRenamed("segment", "name"))
@@ -248,16 +244,20 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts that lose nothing stay as they are; others are their kept words joined by one space, and ``count_col``,
     where the table has it, becomes the new number of characters.
     """
-    found = repeats(docs, id_col, text_col, window, **tuning).select(F.col("doc_id").alias(id_col), F.col("spans").alias("_spans"))
-
-    @F.udf("string", useArrow=True)
-    def cut(text: str | None, spans: list | None) -> str | None:
-        if not spans:
-            return text
-        return b" ".join(kept_words(words_of(text), [(s["a"], s["b"]) for s in spans])).decode("utf-8", "surrogatepass")
-
-    joined = docs.join(found, id_col, "left")
-    changed = F.col("_spans").isNotNull()
-    out = joined.withColumn("_new", cut(text_col, "_spans")).where(~changed | (F.length("_new") > 0))
-    values = [F.col("_new").alias(c) if c == text_col else (F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == count_col else F.col(c)) for c in docs.columns]
-    return out.select(*values)
+    spans, new = (unused(c, docs.columns) for c in ("_spans", "_new"))
+    found = repeats(docs, id_col, text_col, window, **tuning).select(F.col("doc_id").alias(id_col), F.col("spans").alias(spans))
+    joined = docs.join(found, id_col, "left").select(*docs.columns, spans)
+    at, names = docs.columns.index(text_col), [*docs.columns, new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = []
+            for text, gone in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                kept = kept_words(words_of(text), [(s["a"], s["b"]) for s in gone]) if gone else None
+                cut.append(None if kept is None else b" ".join(kept).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(cut, pa.string())], names=names)
+
+    cut = joined.mapInArrow(run, StructType([*docs.schema.fields, StructField(new, StringType())]))
+    changed = F.col(new).isNotNull()
+    values = [F.coalesce(F.col(new), F.col(c)).alias(c) if c == text_col else (F.when(changed, F.length(new).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == count_col else F.col(c)) for c in docs.columns]
+    return cut.where(~changed | (F.length(new) > 0)).select(*values)
