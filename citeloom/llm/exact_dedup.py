@@ -1,7 +1,8 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
-Each round reads a little more of each text, and only of the rows whose group in the round before held at least
-two.  DataFrame functions only.
+One pass over the texts leaves a narrow table of lengths and prefix hashes; the rounds run on it, and the full content
+is read only of the rows whose group in the round before held at least two (unless every row's hash is asked for).
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -32,31 +33,30 @@ def exact_dedup(
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     length = F.octet_length("norm").alias("n")
     prefix = F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("ph")
+    full = F.sha2("norm", 256).alias("text_sha256")
 
+    # Texts are read once into numbers; if every row's hash is asked for, it is taken in the same pass.
+    narrow = stored(rows.select("doc_id", length, prefix, *([full] if hash_all else [])), "dedup-narrow")
     # Round 1: only lengths that occur twice go on.
-    lengths = stored(rows.select(length).groupBy("n").count().where("count > 1").select("n"), "dedup-lengths", narrow=True)
+    lengths = stored(narrow.groupBy("n").count().where("count > 1").select("n"), "dedup-lengths", narrow=True)
     # Round 2: prefix hashes of the rows that have such a length.
-    second = keyed_join(rows.select("doc_id", length, prefix), lengths, ["n"], "left_semi", F.col("doc_id"))
+    second = keyed_join(narrow.select("doc_id", "n", "ph"), lengths, ["n"], "left_semi", F.col("doc_id"))
     twins = stored(second.groupBy("n", "ph").count().where("count > 1").select("n", "ph"), "dedup-prefixes", narrow=True)
     dropped(lengths)
     # Round 3: the full content of rows whose length and prefix both recur.
     twin_rows = twins.count()
-    third = keyed_join(rows.select("doc_id", "norm", length, prefix), twins, ["n", "ph"], "left_semi", F.col("doc_id"), twin_rows)
-    full = F.sha2("norm", 256).alias("text_sha256")
+    content = narrow if hash_all else rows.select("doc_id", "norm", length, prefix)
+    third = keyed_join(content, twins, ["n", "ph"], "left_semi", F.col("doc_id"), twin_rows)
+    third = third.select("doc_id", "text_sha256") if hash_all else stored(third.select("doc_id", full), "dedup-full", narrow=True)
     groups = stored(
-        third.select("doc_id", full)
-        .groupBy("text_sha256")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1"),
+        third.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"),
         "dedup-groups",
         narrow=True,
     )
-    if hash_all:
-        hashed = rows.select("doc_id", full)
-    else:
-        marked = keyed_join(rows.select("doc_id", "norm", length, prefix), twins.withColumn("again", F.lit(True)), ["n", "ph"], "left", F.col("doc_id"), twin_rows)
-        hashed = marked.select("doc_id", F.when(F.col("again"), F.sha2("norm", 256)).alias("text_sha256"))
-    out = keyed_join(hashed, groups, ["text_sha256"], "left", F.col("doc_id"))
+    out = keyed_join(narrow.select("doc_id", "text_sha256") if hash_all else third, groups, ["text_sha256"], "left", F.xxhash64("doc_id"))
+    if not hash_all:
+        alone = keyed_join(narrow, twins, ["n", "ph"], "left_anti", F.col("doc_id"), twin_rows).select("doc_id")
+        out = out.unionByName(alone, allowMissingColumns=True)
     keep = F.coalesce("keep_id", "doc_id")
     return out.select(
         "doc_id",
