@@ -26,7 +26,7 @@ from citeloom.llm.topk import top_products
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Names that the operators use inside; a table may have them too.
-CLASH = ["norm", "fp", "key", "n", "shard", "size", "spans", "_salt", "g", "s", "length"]
+CLASH = ["norm", "fp", "key", "n", "shard", "size", "spans", "_salt", "_spans", "_new", "part", "name", "root", "g", "s", "length"]
 
 
 def table(spark, texts):
