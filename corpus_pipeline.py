@@ -19,7 +19,10 @@ from citeloom.llm.substring import drop_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (null, or no letter at all) go; profiles are learned from all labels."""
+    """Documents without a recognisable language go: null, no letter at all, or a score that fits no learned language.
+
+    Profiles are learned from all labels.  Where there is none, only texts without a letter go.
+    """
     long_texts(spark)
     return keep_identified(docs, learn(docs, F.lit(True)))
 
@@ -30,7 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (SimHash candidates, five-word shingles 0.8 similar), the document with the smallest id stays."""
+    """Of near-duplicates (five-word shingles 0.8 similar), the document with the smallest id stays."""
     return drop_near(docs)
 
 
