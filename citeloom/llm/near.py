@@ -2,8 +2,8 @@
 
 Two documents link if the Jaccard similarity of their sets of word shingles (WIDTH words) is at least SIMILARITY.
 
-1. A text is read once, into the sorted hashes of its shingles, its SimHash and a small parity sketch of the set.  Equal
-   sets are one from then on.
+1. One pass leaves each text's SimHash, and the size, the digest and a small parity sketch of its set.  Equal sets are
+   one from then on.
 2. Fingerprints meet by ball hashing (``simhash.links``); every pair found is verified on the whole sets.  That joins
    the close copies, which are most of a crowded group.
 3. At a similarity of 0.8 fingerprints differ in some 10 bits, far beyond any ball that could be emitted, so the rest is
@@ -68,57 +68,63 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``doc_id, fp, n, name, bits, shingles``: SimHash, size, digest, sketch and sorted hashes of each row's set."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp, n, name, bits, raw = [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                hashes = shingle_hashes(text, width)
-                found = np.unique(hashes)
-                fp.append(simhash(hashes))
-                n.append(len(found))
-                raw.append(found.tobytes())
-                name.append(xxhash.xxh3_128_digest(raw[-1]))
-                bits.append(sketch(found).tobytes())
-            columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in (name, bits, raw))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "fp", "n", "name", "bits", "shingles"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long, n int, name binary, bits binary, shingles binary")
+def profiles(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One row a text: ``doc_id, fp, n, name, bits``, its SimHash, and size, digest and sketch of its set of shingles.
 
-
-def _sets_of(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
-
-
-def frequent_shingles(sets: DataFrame) -> np.ndarray:
-    """Hashes of frequent shingles, rarest first.
-
-    Tasks count in parts and leave out what a part has once, so some frequent ones may be missing: they make the order
-    of ``prefix`` good, and any order gives the same pairs.
+    Rows without a ``doc_id`` are counts of shingles, ``key`` and ``n``: a task counts _COUNTED shingles at a time and
+    sends those that it has met more than once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
-        def out() -> pa.RecordBatch:
+        def out(ids: pa.Array, fp: list[int], n: np.ndarray, name: list[bytes] | None = None, bits: list[bytes] | None = None, key: np.ndarray | None = None) -> pa.RecordBatch:
+            fill = pa.nulls(len(n))
+            columns = [ids, pa.array(np.array(fp, np.uint64).view(np.int64)) if fp else fill.cast(pa.int64()), pa.array(n, pa.int64())]
+            columns += [fill.cast(pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (name, bits)]
+            columns.append(fill.cast(pa.int64()) if key is None else pa.array(key.view(np.int64)))
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "n", "name", "bits", "key"])
+
+        def counted(kind: pa.DataType) -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
+            more = n > 1
+            return out(pa.nulls(int(more.sum()), kind), [], n[more], key=found[more])
 
-        size = 0
+        kind = None
         for b in batches:
-            for one in _sets_of(b.column(0)):
-                held.append(one)
-                size += len(one)
+            fp, n, name, bits = [], [], [], []
+            kind = b.column(0).type
+            for text in b.column(1).to_pylist():
+                hashes = shingle_hashes(text, width)
+                found = np.unique(hashes)
+                fp.append(simhash(hashes))
+                n.append(len(found))
+                name.append(xxhash.xxh3_128_digest(found.tobytes()))
+                bits.append(sketch(found).tobytes())
+                held.append(found)
+                size += len(found)
                 if size >= _COUNTED:
-                    yield out()
+                    yield counted(kind)
                     held, size = [], 0
+            yield out(b.column(0), fp, np.array(n, np.int64), name, bits)
         if held:
-            yield out()
+            yield counted(kind)
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long, n long, name binary, bits binary, key long")
 
-    counted = sets.select("shingles").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+def frequent_shingles(profiled: DataFrame) -> np.ndarray:
+    """Hashes of frequent shingles, rarest first, from the counts of ``profiles``.
+
+    What a part of a task has once isn't counted, so some frequent ones may be missing: they make the order of
+    ``prefix`` good, and any order gives the same pairs.
+    """
+    counted = profiled.where("doc_id is null").groupBy("key").agg(F.sum("n").alias("n"))
     least = FREQUENT
     counted = stored(counted.where(F.col("n") >= least), "near-frequent", narrow=True)
     while counted.where(F.col("n") >= least).count() > FREQUENT_ROWS:
@@ -166,20 +172,20 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def candidate_pairs(sets: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)`` of ids that may be similar, and the rows of crowded meeting points for ``crossing_pairs``.
+def candidate_pairs(rows: DataFrame, frequent: np.ndarray, width: int = WIDTH, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(a, b)`` of ids that may be similar, the rows of crowded meeting points for ``crossing_pairs``, and the stored
+    table that both are read from.
 
-    Defined cases: empty sets send nothing; rows that repeat an id never pair with each other.
+    Defined cases: texts without words send nothing; rows that repeat an id never pair with each other.
     """
-    kind = dict(sets.dtypes)["doc_id"]
-    frequent = frequent_shingles(sets)
+    kind = dict(rows.dtypes)["doc_id"]
     order = np.argsort(frequent)
-    held = sets.sparkSession.sparkContext.broadcast((frequent[order], order))
+    held = rows.sparkSession.sparkContext.broadcast((frequent[order], order))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, rank = held.value
         for b in batches:
-            found = _sets_of(b.column(1))
+            found = [np.unique(shingle_hashes(t, width)) for t in b.column(1).to_pylist()]
             first = [prefix(s, late, rank, least) if len(s) else s for s in found]
             n = np.fromiter(map(len, first), np.int64, len(first))
             place = np.concatenate([np.zeros(0, np.int64), *map(np.arange, n)])
@@ -188,7 +194,7 @@ def candidate_pairs(sets: DataFrame, least: float = SIMILARITY) -> tuple[DataFra
             ids = b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
             yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(sizes, pa.int32()), pa.array(place, pa.int32())], names=["key", "doc_id", "size", "place"])
 
-    met = sets.select("doc_id", "shingles").mapInArrow(emit, f"key long, doc_id {kind}, size int, place int").repartition("key").sortWithinPartitions("key", "doc_id")
+    met = rows.mapInArrow(emit, f"key long, doc_id {kind}, size int, place int").repartition("key").sortWithinPartitions("key", "doc_id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _by_key(batches):
@@ -207,7 +213,7 @@ def candidate_pairs(sets: DataFrame, least: float = SIMILARITY) -> tuple[DataFra
 
     both = stored(met.mapInArrow(meet, f"pair boolean, key long, a {kind}, b {kind}, size int, place int"), "near-met")
     crowded = both.where("not pair").select("key", F.col("a").alias("doc_id"), "size", "place")
-    return both.where("pair").select("a", "b"), crowded
+    return both.where("pair").select("a", "b"), crowded, both
 
 
 def _met(part: pa.Table, a: np.ndarray, b: np.ndarray, pair: bool) -> pa.RecordBatch:
@@ -276,10 +282,23 @@ def crossing_pairs(crowded: DataFrame, sets: DataFrame, roots: DataFrame, least:
     return out
 
 
-def similar_pairs(sets: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose sets have at least this similarity."""
+def _sets_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _shingled(rows: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, width)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, shingles binary")
+
+
+def similar_pairs(rows: DataFrame, pairs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """The pairs whose whole sets have at least this similarity."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-ids", narrow=True)
-    used = stored(keyed_join(sets.select("doc_id", "shingles"), ids, ["doc_id"], "left_semi"), "near-used")
+    used = stored(_shingled(keyed_join(rows, ids, ["doc_id"], "left_semi"), width), "near-used")
     left = used.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = used.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     joined = spread_join(spread_join(pairs, left, "a", F.col("b")), right, "b", F.col("a"))
@@ -321,20 +340,27 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cases: texts without words equal each other and nothing else; fewer words than ``width`` are one shingle; rows with
     a null id are in no group; rows that repeat an id are one document with several texts; an empty table gives none.
     """
-    sets = stored(shingle_sets(docs, id_col, text_col, width), "near-sets")
+    rows = _rows(docs, id_col, text_col)
+    profiled = stored(profiles(rows, width), "near-profiles")
+    sets = profiled.where("doc_id is not null")
     same = stored(equal_sets(sets), "near-same", narrow=True)
-    one_each = keyed_join(sets, same.select(F.col("b").alias("doc_id")).distinct(), ["doc_id"], "left_anti")
+    # An id whose rows hold several texts takes part with all of them.
+    several = sets.groupBy("doc_id").agg(F.min("name").alias("x"), F.max("name").alias("y")).where("x != y").select("doc_id")
+    others = same.select(F.col("b").alias("doc_id")).distinct().join(several, "doc_id", "left_anti")
+    others = stored(others, "near-others", narrow=True)
+    one_each, one_text = (keyed_join(x, others, ["doc_id"], "left_anti") for x in (sets, rows))
     close = stored(ball_pairs(one_each), "near-ball", narrow=True)
-    linked = same.unionByName(similar_pairs(one_each, close, least))
+    linked = same.unionByName(similar_pairs(one_text, close, width, least))
     roots = stored(components(linked, "near-components"), "near-roots", narrow=True)
-    pairs, crowded = candidate_pairs(one_each, least)
-    linked = linked.unionByName(similar_pairs(one_each, stored(apart(pairs, roots), "near-pairs", narrow=True), least))
+    pairs, crowded, met = candidate_pairs(one_text, frequent_shingles(profiled), width, least)
+    linked = linked.unionByName(similar_pairs(one_text, stored(apart(pairs, roots), "near-pairs", narrow=True), width, least))
     roots = stored(components(linked, "near-components"), "near-roots", narrow=True)
     more = crossing_pairs(crowded, one_each, roots, least, cell)
+    dropped(met)
     if not more.isEmpty():
-        linked = linked.unionByName(similar_pairs(one_each, more, least))
+        linked = linked.unionByName(similar_pairs(one_text, more, width, least))
         roots = stored(components(linked, "near-components"), "near-roots", narrow=True)
-    dropped(sets)
+    dropped(profiled)
     return roots
 
 

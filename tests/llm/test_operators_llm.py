@@ -206,6 +206,35 @@ def test_near_dedup_links_members_whose_first_is_unlike(spark):
     assert linked and {r["doc_id"] for r in drop_near(table(spark, texts)).collect()} == expected
 
 
+def test_near_dedup_star_shaped_groups(spark):
+    """One text and 39 copies with three words changed each, which mostly link to the text only; in small cells too."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for g in range(4):
+        body = prose(600 + g, 200, 5000).split()
+        texts.append(" ".join(body))
+        for n in range(39):
+            words = list(body)
+            for at in rng.choice(200, 3, replace=False):
+                words[at] = f"x{g}.{n}.{at}"
+            texts.append(" ".join(words))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    expected, linked = brute_near(texts)
+    assert len(linked) > 150
+    for cell in (16_384, 16):
+        assert {r["doc_id"] for r in drop_near(table(spark, texts), cell=cell).collect()} == expected
+
+
+def test_near_dedup_null_and_repeated_ids(spark):
+    a, b, c = prose(71, 90), prose(72, 90), prose(73, 90)
+    rows = [(None, a), (5, a), (5, b), (6, a.upper()), (7, b + " tail"), (8, c), (8, c), (9, None), (10, " "), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # 6 is like 5's first text, 7 like its second, 10 like 9; rows without an id stay.
+    assert sorted((r["doc_id"] or 0) for r in drop_near(df).collect()) == [0, 0, 5, 5, 8, 8, 9]
+    assert drop_near(df.limit(0)).count() == 0
+
+
 def test_wavelet_tree_ranks():
     rng = np.random.default_rng(2)
     symbols = rng.integers(0, 37, 700)
