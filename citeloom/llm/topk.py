@@ -2,8 +2,8 @@
 
 Vectors stand in bands of falling length.  A rotation by the singular vectors of the candidates puts most of each
 product into the first coordinates; the rest is bounded by Cauchy-Schwarz from the two residual lengths.  A candidate
-whose partial sum plus this bound can't reach a query's k-th best score so far is dropped, and once the longest
-vector of a block can't reach any, the remaining blocks, all shorter, are skipped.  Survivors are scored exactly in
+whose partial sum plus this bound can't reach a query's k-th best score so far is dropped, and a block whose longest
+vector can't reach any is skipped; those behind it in the band, all shorter, then are too.  Survivors are scored exactly in
 whole numbers, so rounding of the rotation only costs a margin, never a result.
 
 The first band is searched first, and its k-th scores start the search of all the others.  Queries pass in blocks of
@@ -25,6 +25,10 @@ QUERY_BLOCK = 32_768
 BLOCK = 2_048
 #: Candidates of the first band, searched before the rest to start the thresholds.
 SEED_ROWS = 8_192
+#: Tasks that search the first band.
+SEED_TASKS = 8
+#: Squared length up to which an inner product of two vectors surely fits into a long.
+LARGEST = float(1 << 62)
 #: Queries multiplied at a time, so that a task holds at most this many times BLOCK partial sums.
 TILE = 2_048
 
@@ -39,6 +43,8 @@ def whole_vectors(table: DataFrame, id_col: str, vector_col: str, scale: float)
             for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 x = np.floor(v.values.to_numpy(zero_copy_only=False).astype(float) * scale)
                 if np.isfinite(x).all():
+                    if (x * x).sum() > LARGEST:
+                        raise ValueError(f"vector {i}: its inner products need not fit into 64 bits")
                     w = x.astype(np.int64)
                     ids.append(i)
                     payload.append(w.tobytes())
@@ -89,12 +95,13 @@ class Queries:
         self.floor = np.full(len(ids), -np.inf) if floor is None else floor.astype(float)
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, vec_id), sorted
 
-    def search(self, ids: np.ndarray, payloads: list[bytes], norms: np.ndarray) -> bool:
-        """One block of candidates by falling length; False once no shorter vector can matter."""
-        slack = 1e-6 * (1 + self.norm * norms[0])
-        active = np.flatnonzero(self.norm * norms[0] + slack >= self.floor)
+    def search(self, ids: np.ndarray, payloads: list[bytes], norms: np.ndarray) -> None:
+        """One block of candidates; nothing of it is read if even its longest vector can't matter to any query."""
+        longest = norms.max()
+        slack = 1e-6 * (1 + self.norm * longest)
+        active = np.flatnonzero(self.norm * longest + slack >= self.floor)
         if not len(active):
-            return False
+            return
         whole = _matrix(payloads, self.whole.shape[1])
         turned = whole.astype(float) @ self.basis
         front, rest = turned[:, : self.head], np.sqrt((turned[:, self.head :] ** 2).sum(axis=1))
@@ -104,7 +111,6 @@ class Queries:
             alive = bound + slack[q][:, None] >= self.floor[q][:, None]
             for row in np.flatnonzero(alive.any(axis=1)):
                 self.score(q[row], np.flatnonzero(alive[row]), bound[row], ids, whole, slack[q[row]])
-        return True
 
     def score(self, i: int, at: np.ndarray, bound: np.ndarray, ids: np.ndarray, whole: np.ndarray, slack: float) -> None:
         """Exact scores of the survivors ``at`` of query i, the most promising first."""
@@ -141,7 +147,8 @@ def top_products(
 
     Defined cases: vectors that are null, empty or hold null, NaN or infinite components take no part on either side;
     shorter vectors count as padded with zeros; fewer than k candidates give fewer rows; equal vectors are all
-    candidates; rows that repeat an id are candidates each, so an id may appear twice; empty tables give no rows.
+    candidates; rows that repeat an id are candidates each, so an id may appear twice; empty tables give no rows; vectors of a squared length (scaled) over LARGEST
+    raise an error, as their scores need not fit into a long.
     """
     spark = table.sparkSession
     vectors = stored(whole_vectors(table, id_col, vector_col, scale), "topk-vectors")
@@ -154,8 +161,9 @@ def top_products(
     basis, values = rotation(vectors, dim)
     head = int(np.searchsorted(np.cumsum(values) / max(values.sum(), 1e-300), energy)) + 1
     head = min(dim, max(1, head))
-    banded = vectors.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    longest = vectors.select("vec_id", "payload", "norm").orderBy(F.desc("norm"), "vec_id").limit(SEED_ROWS).sortWithinPartitions(F.desc("norm"), "vec_id")
+    banded = stored(vectors.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id"), "topk-banded").select("vec_id", "payload", "norm")
+    longest = banded.orderBy(F.desc("norm"), "vec_id").limit(SEED_ROWS)
+    longest = stored(longest.repartition(SEED_TASKS).sortWithinPartitions(F.desc("norm"), "vec_id"), "topk-longest")
     blocks = -(-n_asked // (QUERY_BLOCK // 2)) if n_asked > QUERY_BLOCK else 1
     numbered = asked.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     out = None
@@ -167,20 +175,19 @@ def top_products(
         def run(batches: Iterator[pa.RecordBatch], floor=None, held=held) -> Iterator[pa.RecordBatch]:
             found = Queries(*held.value, basis, head, k, None if floor is None else floor.value)
             for batch in batches:
-                more = True
                 for at in range(0, batch.num_rows, BLOCK):
                     part = batch.slice(at, BLOCK)
-                    more = found.search(part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2).to_numpy())
-                    if not more:
-                        break
-                if not more:
-                    break
+                    found.search(part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2).to_numpy())
             yield found.rows()
 
-        first = longest.mapInArrow(run, FOUND).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).where(F.col("n") == k)
+        # At most SEED_TASKS * k scores a query; the k-th best of them is where the search starts.
+        scores = F.sort_array(F.collect_list("score"), asc=False)
+        first = longest.mapInArrow(run, FOUND).groupBy("query_id").agg(F.try_element_at(scores, F.lit(k)).alias("low")).where("low is not null")
         low = {r["query_id"]: r["low"] for r in first.collect()}  # a row a query of this block
         floor = spark.sparkContext.broadcast(np.array([low.get(int(i), -np.inf) for i in ids], float))
-        found = banded.select("vec_id", "payload", "norm").mapInArrow(lambda it, run=run, floor=floor: run(it, floor), FOUND)
+        found = banded.mapInArrow(lambda it, run=run, floor=floor: run(it, floor), FOUND)
+        if blocks > 1:
+            found = stored(found, "topk-found", narrow=True)
         out = found if out is None else out.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
