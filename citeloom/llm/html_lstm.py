@@ -5,8 +5,9 @@ and says for every block, with the whole page as context, whether it belongs to
 
 The labeller is trained here, on pages that ``training_pages`` makes up: templates with menus, notices, adverts,
 sidebars, comments, forms and footers around an article, under many spellings of class names, so that each block's
-label is known.  Training is a bounded, seeded computation of the driver (PAGES pages, EPOCHS passes); no table is
-read for it, and what executors get are the weights, a few hundred kilobytes.
+label is known.  No table is read for it.  ``python -m citeloom.llm.html_lstm`` trains (seeded, PAGES pages, EPOCHS
+passes, about half a minute) and writes the weights beside this module, a few hundred kilobytes; a query only loads
+them on the driver and broadcasts them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import functools
 import random
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -292,11 +294,28 @@ def training_pages(count: int = PAGES, seed: int = SEED) -> Iterator[tuple[list[
             yield page, np.array(labels, np.float32)
 
 
-@functools.cache
-def labeller(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
+def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
     return train([(features(p), y) for p, y in training_pages(pages, seed)], epochs, seed)
 
 
+WEIGHTS = Path(__file__).with_name("html_lstm.npz")
+
+
+@functools.cache
+def labeller() -> Labeller:
+    """The labeller with the weights that ``trained()`` has left in WEIGHTS."""
+    model = Labeller()
+    with np.load(WEIGHTS) as kept:
+        for i, p in enumerate(model.parameters()):
+            p[...] = kept[f"p{i}"]
+    return model
+
+
+def write_weights() -> None:
+    """Train and round to half precision, which is what WEIGHTS holds."""
+    np.savez_compressed(WEIGHTS, **{f"p{i}": p.astype(np.float16) for i, p in enumerate(trained().parameters())})
+
+
 def main_texts(htmls: list[str | None], model: Labeller) -> list[str]:
     pages = [blocks(h) for h in htmls]
     keep = [p >= 0.5 for p in model.label(pages)]
@@ -320,3 +339,7 @@ def extract(pages: DataFrame, model: Labeller | None = None, id_col: str = "page
 
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    write_weights()
