@@ -15,7 +15,7 @@ from citeloom.llm.components import components
 from citeloom.llm.exact_dedup import drop_exact, exact_dedup
 from citeloom.llm.fm_index import WaveletTree, window_minima
 from citeloom.llm.html_blocks import blocks
-from citeloom.llm.html_lstm import extract, labeller, training_pages
+from citeloom.llm.html_lstm import extract, labeller, trained, training_pages
 from citeloom.llm.language_id import identify, keep_identified, learn
 from citeloom.llm.max_plus import Pieces, decode, encode, encode_scan, mark
 from citeloom.llm.near import drop_near, shingle_similarity
@@ -297,7 +297,12 @@ def test_packing_plan(seed):
             assert offset == at
             at += length
         assert at <= 64
-    assert plan.sequences <= 1.12 * -(-int(lengths.sum()) // 64) + 1 or seed % 2 == 0
+    least = -(-int(lengths.sum()) // 64)
+    if seed % 2 == 0:  # two or three fit: no more triples than the shortest lengths allow
+        short = np.cumsum(np.sort(lengths))
+        triples = max(t for t in range(len(lengths) // 3 + 1) if t == 0 or short[3 * t - 1] <= 64 * t)
+        least = triples + -(-(len(lengths) - 3 * triples) // 2)
+    assert plan.sequences <= 1.12 * least + 1
 
 
 def test_pack_documents(spark, texts):
@@ -411,11 +416,13 @@ def test_html(spark):
     out = {r["page_id"]: r for r in extract(df).collect()}
     assert out[1]["text"] == "Head & line\n\nFirst bold line.\n\nSecond." and out[1]["n_chars"] == len(out[1]["text"])
     assert out[2]["text"] == out[3]["text"] == "" and out[4]["n_chars"] == len(out[4]["text"])
-    model, right, total = labeller(), 0, 0
+    model, again, right, same, total = labeller(), trained(), 0, 0, 0
     for made, labels in training_pages(120, seed=77):
-        right += int(((model.label([made])[0] >= 0.5) == labels).sum())
+        said = model.label([made])[0] >= 0.5
+        right += int((said == labels).sum())
+        same += int((said == (again.label([made])[0] >= 0.5)).sum())
         total += len(labels)
-    assert right / total > 0.98
+    assert right / total > 0.98 and same / total > 0.995  # the weights in the package are those that training gives
     assert [b.text for b in blocks("<ul><li>a<li>b</ul>c")] == ["a", "b", "c"]
 
 
