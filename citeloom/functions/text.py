@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 
 # Citation patterns, French court codes and their English forms, stop words, decision-header marks.
 NEUTRAL = r"\b([0-9]{4})\s+([A-Z][A-Za-z]{1,9})\s+([0-9]{1,5})\b"
-SCR = r"\[([0-9]{4})\]\s+([0-9])\s+S\.?\s?C\.?\s?R\.?\s+([0-9]{1,4})"
-FRENCH_COURTS = {"CSC": "SCC", "CAF": "FCA", "CF": "FC", "CCI": "TCC"}
+SCR = r"\[([0-9]{4})\]\s*([0-9])\s*S\.?\s*C\.?\s*R\.?\s*([0-9]{1,4})"
+FRENCH_COURTS = {
+    "CSC": "SCC", "CF": "FC", "CAF": "FCA", "CFPI": "FCT", "CCI": "TCC", "CACM": "CMAC",
+    "TCDP": "CHRT", "CCRI": "CIRB", "TCCE": "CITT", "CRTFP": "FPSLREB", "TSS": "SST",
+}
 O_REG = r"O\.?\s*Reg\.?\s*([0-9]{1,4})/([0-9]{2,4})"
 RRO_REG = r"R\.?R\.?O\.?\s*([0-9]{4}),?\s*Reg\.?\s*([0-9]{1,4})"
 HEADER_MARKS = ("Decision Content", "Contenu de la décision")
 HEADER_REACH = 6000
-STOP_WORDS = "the and for that this with from was were are has have had not but which any all its his her their they been will would may can".split()
+STOP_WORDS = (
+    "the and that for was with his her this not are which from has had have its one any but all "
+    "who him she they them their there been were will would what when where than then into also "
+    "only such may can could should shall our out"
+).split()
 
 
 def clean(text: Column) -> Column:
@@ -105,7 +112,8 @@ def normalize(text: Column) -> Column:
 
 
 def content_words(text: Column) -> Column:
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    """Distinct words of the normalised text that are longer than two characters and no stop words."""
+    words = F.array_distinct(F.regexp_extract_all(normalize(text), F.lit("[a-z0-9]+"), F.lit(0)))
     return F.array_except(F.filter(words, lambda w: F.length(w) > 2), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 

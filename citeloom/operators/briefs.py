@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text
 
-# What a brief may hold in words, the overlap that an item needs with its anchor.
-MAX_WORDS, LEAST_OVERLAP, UNDECIDED_JACCARD = 500, 0.3, 0.8
+# What a brief may hold in words, the overlap that an item needs with its anchor and where it needs it.
+MAX_WORDS, LEAST_OVERLAP, UNDECIDED_JACCARD = 500, 0.5, 0.8
+OVERLAP_SECTIONS = ("facts", "ratio", "decision")
 
 
 def anchors(chunks: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def rule_warnings(items: DataFrame) -> DataFrame:
     rules: list[tuple[Column, str]] = [
         (~F.col("anchor_ok"), "anchor does not exist"),
         (issue & ~F.lower(F.trim("text")).startswith("whether"), "issue is not a whether question"),
-        (F.col("anchor_ok") & (F.col("overlap") < LEAST_OVERLAP), "wording is far from its anchor"),
+        (F.col("section").isin(*OVERLAP_SECTIONS) & F.col("anchor_ok") & (F.col("overlap") < LEAST_OVERLAP), "wording is far from its anchor"),
         (F.trim(F.coalesce("text", F.lit(""))) == "", "item is empty"),
     ]
     messages = F.filter(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(m)) for rule, m in rules]), lambda m: m.isNotNull())

@@ -61,12 +61,17 @@ def passages(hits: DataFrame, per_case: int = BEST_PASSAGES) -> DataFrame:
     return best.where(F.col("passage_no") <= per_case)
 
 
+def _edges_of(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """The seeds' edges, taken before anything is shuffled: a semi-join with the few seeds, then the join itself."""
+    return seeds.join(edges.join(seeds.select("src").distinct(), "src", "left_semi"), "src")
+
+
 def seed_support(seeds: DataFrame, edges: DataFrame, rrf_k: int = RRF_K, min_support: int = MIN_SUPPORT, digits: int = 12) -> DataFrame:
     """Targets cited by at least ``min_support`` seeds: ``query_id, dst, n_seeds, support, graph_rank``.
 
     ``seeds(query_id, src, seed_rank)``, ``edges(src, dst)``.  Repeated edges count once.
     """
-    cited = seeds.join(edges.select("src", "dst").distinct(), "src")
+    cited = _edges_of(seeds, edges.select("src", "dst")).distinct()
     grouped = cited.groupBy("query_id", "dst").agg(F.count(F.lit(1)).alias("n_seeds"), F.round(F.sum(1.0 / (rrf_k + F.col("seed_rank"))), digits).alias("support"))
     return _ranked(grouped.where(F.col("n_seeds") >= min_support), ["query_id"], [F.desc("support"), F.col("dst")], "graph_rank")
 
@@ -128,7 +133,7 @@ def rank_sections(hits: DataFrame, seeds: DataFrame, edges: DataFrame, counts: D
     ``counts(*keys, cited_by_count)``.
     """
     text = fuse(hits, keys).select("query_id", *keys, F.col("score").alias("text_score"))
-    cited = seeds.join(edges.select("src", *keys).distinct(), "src").groupBy("query_id", *keys)
+    cited = _edges_of(seeds, edges.select("src", *keys)).distinct().groupBy("query_id", *keys)
     graph = cited.agg(F.count(F.lit(1)).alias("n_seeds"), F.round(F.sum(1.0 / (RRF_K + F.col("seed_rank"))), digits).alias("support")).where(F.col("n_seeds") >= MIN_SUPPORT)
     graph = _ranked(graph, ["query_id"], [F.desc("support"), *map(F.col, keys)], "graph_rank").select("query_id", *keys, "n_seeds", "graph_rank")
     both = text.join(graph, ["query_id", *keys], "full_outer").join(counts, keys, "left")

@@ -2,40 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Items that a task multiplies with the queries at a time.
+BLOCK = 2_048
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+def _matrix(rows: list[list[float | None] | None], width: int) -> np.ndarray:
+    """One row a vector, NaN throughout where it is null, has a null component or another length."""
+    out = np.full((len(rows), width), np.nan)
+    for i, v in enumerate(rows):
+        if v is not None and len(v) == width and None not in v:
+            out[i] = v
+    return out
 
 
 def cosine_topk(items: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_limit: int = 10_000, digits: int = 6) -> DataFrame:
     """``query_id, item_id, dist, rank``: k nearest by 1 - cosine, ties to the smaller id.
 
-    ``queries(query_id, query)``.  They are a stated set against all items: counted, and broadcast up to
-    ``query_limit``; more of them pass in blocks of that size.  Norms are computed once for each side.
+    ``queries(query_id, query)`` are a stated set against all items: counted, and in blocks of at most about
+    ``query_limit``, which is what a broadcast holds.  A task multiplies its items with the block as matrices and sends
+    on its own k best of each query (and what is equal to the last of them), so k rows a query and task are shuffled.
+
+    Defined cases: vectors that are null, hold a null or NaN, have length 0 or another dimension than the queries are
+    no result; queries likewise have none; empty tables give no rows.
     """
-    spark = items.sparkSession
     n = queries.count()
-    blocks = max(1, -(-n // query_limit))
-    left = items.select(F.col(id_col).alias("item_id"), F.col(vector_col).alias("v")).where("v is not null").withColumn("vn", norm(F.col("v")))
-    right = queries.select("query_id", F.col("query").alias("q")).where("q is not null").withColumn("qn", norm(F.col("q")))
-    if blocks > 1:
-        right = right.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    order = Window.partitionBy("query_id").orderBy("dist", "item_id")
+    blocks = -(-n // query_limit) if n else 1
+    numbered = queries.where("query is not null").select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
+    left = items.select(F.col(id_col).alias("item_id"), F.col(vector_col).alias("v")).where("v is not null")
+    kinds = {**dict(queries.dtypes), **dict(left.dtypes)}
+    schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, raw double"
     out = None
     for b in range(blocks):
-        mine = right.where(F.col("_b") == b).drop("_b") if blocks > 1 else right
-        # Every item meets the block's queries: they are one array column of a single row, exploded after the scan.
-        packed = mine.agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("qs")).withColumn("_one", F.lit(1))
-        pairs = left.withColumn("_one", F.lit(1)).join(F.broadcast(packed), "_one").select("item_id", "v", "vn", F.explode("qs").alias("x"))
-        dist = F.round(1 - dot(F.col("v"), F.col("x.q")) / (F.col("vn") * F.col("x.qn")), digits)
-        scored = pairs.select(F.col("x.query_id").alias("query_id"), "item_id", dist.alias("dist")).where("dist is not null")
-        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out if out is not None else spark.createDataFrame([], "query_id long, item_id long, dist double, rank int")
+        mine = numbered.where(F.col("_b") == b).toArrow()
+        ids, rows = mine["query_id"].combine_chunks(), mine["query"].to_pylist()
+        width = max((len(v) for v in rows), default=0)
+        asked = _matrix(rows, width)
+        held = items.sparkSession.sparkContext.broadcast((ids, asked / np.linalg.norm(asked, axis=1, keepdims=True) if width else asked))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, width=width) -> Iterator[pa.RecordBatch]:
+            ids, unit = held.value
+            for batch in batches:
+                for at in range(0, batch.num_rows if width else 0, BLOCK):
+                    part = batch.slice(at, BLOCK)
+                    x = _matrix(part.column(1).to_pylist(), width)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        dist = 1 - unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                    near = np.round(dist, digits)
+                    last = min(k, near.shape[1]) - 1
+                    floor = np.partition(np.where(np.isnan(near), np.inf, near), last, axis=1)[:, last]
+                    q, i = np.nonzero(near <= floor[:, None])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.column(0).take(pa.array(i)), pa.array(dist[q, i])], names=["query_id", "item_id", "raw"])
+
+        scored = left.mapInArrow(run, schema)
+        out = scored if out is None else out.unionByName(scored)
+    order = Window.partitionBy("query_id").orderBy("dist", "item_id")
+    ranked = out.select("query_id", "item_id", F.round("raw", digits).alias("dist")).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k)
