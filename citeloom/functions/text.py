@@ -133,6 +133,39 @@ def text_hash(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")), 256)
 
 
+#: A pinpoint in front of a law's name, as in "ss. 12 and 14(2) of the ...".
+PINPOINT = r"(?i)^\s*(?:ss?\.|sections?|rules?|r\.|articles?|art\.)\s*[\w.()]+(?:\s*(?:,|and|to|-)\s*[\w.()]+)*\s+of\s+(?:the\s+)?"
+
+
+def key_terms(authority: Column) -> Column:
+    """What must be found of an authority: its citations, else its leading name of at least four characters."""
+    cited = F.transform(case_citations(authority), normalize)
+    name = normalize(F.split(F.regexp_replace(authority, PINPOINT, ""), r",|\(|\bss?\.?\s*\d|\bsection\b").getItem(0))
+    return F.when(F.size(cited) > 0, cited).when(F.length(name) >= 4, F.array(name)).otherwise(F.array().cast("array<string>"))
+
+
+#: Words of party names that give nothing away (fixed values).
+GENERIC = (
+    "canada attorney general minister citizenship immigration queen king the and inc ltd employment social development "
+    "commission insurance revenue national public safety emergency preparedness treasury board refugees canadian agency "
+    "service services union council government"
+).split()
+
+
+def leaks(scenario: Column, name: Column) -> Column:
+    """Citations in a scenario, and words of a decision's name that stand in it: what would give the decision away."""
+    words = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"[A-Za-z][A-Za-z'\-]{3,}"), F.lit(0))
+    said = F.concat(F.lit(" "), F.regexp_replace(F.lower(scenario), "[^a-z0-9_]+", " "), F.lit(" "))
+    plain = lambda w: F.concat(F.lit(" "), F.regexp_replace(F.lower(w), "[^a-z0-9_]+", " "), F.lit(" "))
+    given = F.filter(words, lambda w: ~F.lower(w).isin(*GENERIC) & said.contains(plain(w)))
+    return F.concat(case_citations(scenario), given)
+
+
+def related_query(issues: Column, events: Column) -> Column:
+    """A brief's issues without their "Whether" and its events, joined."""
+    return F.array_join(F.concat(F.transform(issues, lambda q: F.regexp_replace(q, r"(?i)^\s*whether\s+", "")), events), "; ")
+
+
 def law_code(citation: Column) -> Column:
     return F.regexp_replace(citation, "[^A-Za-z0-9]", "")
 
@@ -175,7 +208,7 @@ def title_case(title: Column) -> Column:
 
 def corpus_seed(court: Column, citation: Column) -> Column:
     """Struct (database_id, case_id) of a neutral citation of a known court; null otherwise."""
-    databases = {"SCC": ("SCC", "csc-scc"), "FCA": ("FCA", "fca"), "FC": ("FC", "fct"), "TCC": ("TCC", "tcc"), "ONCA": ("ONCA", "onca")}
+    databases = {"SCC": ("SCC", "csc-scc"), "FCA": ("FCA", "fca"), "FC": ("FC", "fct"), "TCC": ("TCC", "cci-tcc"), "ONCA": ("ONCA", "onca")}
     out = F.lit(None).cast("struct<database_id:string,case_id:string>")
     for name, (code, database) in databases.items():
         fits = (court == name) & citation.rlike(rf"^[0-9]{{4}} {code} [0-9]{{1,5}}$")

@@ -63,5 +63,5 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
         scored = left.mapInArrow(run, schema)
         out = scored if out is None else out.unionByName(scored)
     order = Window.partitionBy("query_id").orderBy("dist", "item_id")
-    ranked = out.select("query_id", "item_id", F.round("raw", digits).alias("dist")).withColumn("rank", F.row_number().over(order))
+    ranked = out.select("query_id", "item_id", (F.round("raw", digits) + F.lit(0.0)).alias("dist")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k)

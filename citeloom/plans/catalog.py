@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import chunking, laws, text
-from citeloom.operators import briefs, evaluation, graph, lexical, lookup, ranking, vector
+from citeloom.operators import briefs, citator, evaluation, graph, lexical, lookup, ranking, search, vector
 from citeloom.plans.catalog_sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,11 +83,14 @@ def distinct_on_best(t: Tables) -> DataFrame:
 
 @query
 def four_way_citing(t: Tables) -> DataFrame:
-    """Parts of the same brand and type as a target, the orders that cite them, each once, by price."""
-    target = t.part.where("p_partkey = 1").select("p_brand", "p_type")
-    same = t.part.join(target, ["p_brand", "p_type"]).select(F.col("p_partkey").alias("l_partkey"))
-    citing = t.lineitem.select("l_orderkey", "l_partkey").join(same, "l_partkey").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return t.orders.select("o_orderkey", "o_totalprice").join(citing, "o_orderkey").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+    """For every twentieth part: the parts of its brand and type, the orders that cite them, each once, the 20 dearest."""
+    part = t.part.select("p_partkey", "p_brand", "p_type")
+    target = part.where("p_partkey % 20 = 0").withColumnRenamed("p_partkey", "target")
+    same = part.join(target, ["p_brand", "p_type"]).select("target", F.col("p_partkey").alias("l_partkey"))
+    citing = t.lineitem.select("l_orderkey", "l_partkey").join(same, "l_partkey").select("target", F.col("l_orderkey").alias("o_orderkey")).distinct()
+    dearest = Window.partitionBy("target").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    ranked = t.orders.select("o_orderkey", "o_totalprice").join(citing, "o_orderkey").withColumn("rank", F.row_number().over(dearest))
+    return ranked.where("rank <= 20").select("target", "o_orderkey", "o_totalprice", "rank")
 
 
 @query
@@ -120,7 +123,8 @@ def range_with_fallback(t: Tables) -> DataFrame:
 
 @query
 def or_join_union(t: Tables) -> DataFrame:
-    wanted = t.customer.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("k"))
+    """Orders whose customer key or own key is the key of a customer."""
+    wanted = t.customer.select(F.col("c_custkey").alias("k"))
     return graph.either_key(wanted, t.orders.select("o_orderkey", "o_custkey"), "k", ["o_custkey", "o_orderkey"], "o_orderkey").select("o_orderkey", "o_custkey")
 
 
@@ -208,27 +212,30 @@ def content_hash_dedupe(t: Tables) -> DataFrame:
     return d.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
 
 
-CITED = [
-    (1, "see 2019 SCC 65 and [1992] 1 S.C.R. 986; also 2020  CAF 12."),
-    (2, "O. Reg. 34/10, R.R.O. 1990, Reg. 194 and O.Reg. 7/2015 apply; 2004 CSC 3"),
-    (3, "nothing here"),
-    (4, "2001 FCT 5, 2001 FCT 5 and [2003] 2 SCR 3"),
-]
+COURTS = ["CSC", "CF", "CAF", "CFPI", "CCI", "CACM", "TCDP", "CCRI", "TCCE", "CRTFP", "TSS", "ONCA", "SCC", "FCA", "BCSC"]
 
 
-def cited_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CITED, "id int, text string")
+def cited_rows(t: Tables) -> DataFrame:
+    """``id, text``: a sentence with two case citations and two regulations for every order."""
+    k, year = F.col("o_orderkey"), F.year("o_orderdate").cast("string")
+    part = lambda n: (k % n + 1).cast("string")
+    court = F.element_at(F.array(*map(F.lit, COURTS)), (k % len(COURTS) + 1).cast("int"))
+    said = [
+        F.lit("See "), year, F.lit(" "), court, F.lit("  "), part(99999), F.lit(" and ["), year, F.lit("]"), part(3), F.when(k % 2 == 0, " S.C.R. ").otherwise("SCR"), part(9999),
+        F.lit("; O. Reg. "), part(900), F.lit("/"), F.substring(year, 3, 2), F.lit(", R.R.O. 1990, Reg. "), part(1100), F.lit("."),
+    ]
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.concat(*said).alias("text"))
 
 
 @query
 def neutral_citation_extract(t: Tables) -> DataFrame:
-    found = cited_rows(t.spark).select("id", F.posexplode(text.case_citations(F.col("text"))).alias("pos", "raw"))
+    found = cited_rows(t).select("id", F.posexplode(text.case_citations(F.col("text"))).alias("pos", "raw"))
     return found.select("id", "pos", "raw", text.canonical(F.col("raw")).alias("canonical"))
 
 
 @query
 def regulation_refs_extract(t: Tables) -> DataFrame:
-    return cited_rows(t.spark).select("id", F.explode(text.regulation_refs(F.col("text"))).alias("r")).select("id", "r.citation", "r.alias")
+    return cited_rows(t).select("id", F.explode(text.regulation_refs(F.col("text"))).alias("r")).select("id", "r.citation", "r.alias")
 
 
 @query
@@ -262,11 +269,9 @@ def bm25_filtered(t: Tables) -> DataFrame:
     return lexical.bm25_topk(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 5, allowed)
 
 
-SEED_VECTORS = [1, 2, 3, 5, 8]
-
-
 def _seed_vectors(t: Tables) -> DataFrame:
-    return t.embeddings.where(F.col("vec_id").isin(SEED_VECTORS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    """The stated queries: every twentieth vector."""
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @query
@@ -295,6 +300,9 @@ def best_passages(t: Tables) -> DataFrame:
     return out.select("query_id", "case_id", "chunk_id", F.array_join("matched_by", ",").alias("matched_by"), "best_rank", "passage_no")
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 def _order_seeds(t: Tables) -> DataFrame:
     """Seeds: the 30 dearest orders of each priority, one priority a query."""
     order = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
@@ -347,10 +355,10 @@ def section_rank(t: Tables) -> DataFrame:
     counts = edges.groupBy(*keys).agg(F.countDistinct("src").alias("cited_by_count"))
     lists = []
     for source, by in (("lexical", F.desc("p_retailprice")), ("vector", F.col("p_name").asc())):
+        dealt = t.part.withColumn("query_id", F.explode(F.array(*[F.lit(q) for q in PRIORITIES])))
         order = Window.partitionBy("query_id").orderBy(by, "p_partkey")
-        first = t.part.withColumn("query_id", F.lit("1-URGENT")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 50)
-        lists.append(first.select("query_id", F.lit(source).alias("source"), "rank", *keys))
-    seeds = _order_seeds(t).where("query_id = '1-URGENT' and seed_rank <= 20")
+        lists.append(dealt.withColumn("rank", F.row_number().over(order)).where("rank <= 50").select("query_id", F.lit(source).alias("source"), "rank", *keys))
+    seeds = _order_seeds(t).where("seed_rank <= 20")
     out = ranking.rank_sections(lists[0].unionByName(lists[1]), seeds, edges, counts, keys)
     return out.select("query_id", *keys, F.round("score", 9).alias("score"), "n_seeds", "graph_rank", "section_rank").where("section_rank <= 40")
 
@@ -397,9 +405,217 @@ def citing_threshold(t: Tables) -> DataFrame:
 
 @query
 def regulation_citing_counts(t: Tables) -> DataFrame:
-    """Distinct items per document exploded and counted over documents, at least two, with the count."""
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{9,}"), F.lit(0)))).alias("citation"))
-    return words.groupBy("citation").agg(F.countDistinct("doc_id").alias("n")).where("n >= 2")
+    """Distinct regulations of each order's sentence, counted over orders, at least two."""
+    cited = cited_rows(t).select("id", F.explode(text.regulation_refs(F.col("text"))).alias("r")).select("id", "r.citation")
+    return cited.groupBy("citation").agg(F.countDistinct("id").alias("n")).where("n >= 2")
+
+
+# --- whole searches ----------------------------------------------------------------------------------------------
+
+
+def _corpus(t: Tables) -> dict[str, DataFrame]:
+    """Documents as chunks, four a case, with the vectors of the same number; orders cite parts as cases cite cases."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 4").alias("case_id"), "text").join(vectors, "chunk_id", "left")
+    edges = t.lineitem.select((F.col("l_orderkey") % 997).alias("src"), (F.col("l_partkey") % 997).alias("dst"))
+    cases = t.documents.select(F.expr("doc_id div 4").alias("case_id")).distinct()
+    cited = edges.groupBy("dst").agg(F.countDistinct("src").alias("n"))
+    court = F.element_at(F.array(*[F.lit(c) for c in ("SCC", "FCA", "FC", "ONCA")]), (F.col("case_id") % 4 + 1).cast("int"))
+    meta = cases.join(cited, F.col("case_id") == F.col("dst"), "left").select("case_id", court.alias("court"), F.coalesce("n", F.lit(0)).alias("cited_by_count"))
+    return {"chunks": chunks, "edges": edges, "meta": meta}
+
+
+def _asked(t: Tables) -> DataFrame:
+    vectors = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text").join(vectors, "query_id", "left")
+
+
+def stand_in_scorer(pairs: DataFrame) -> DataFrame:
+    """A made-up score of a pair in place of a cross-encoder's."""
+    return pairs.select("query_id", "case_id", ((F.col("chunk_id") * 37 + F.col("case_id") * 11) % 101 - 50).cast("double").alias("rerank_score"))
+
+
+def _found(out: DataFrame) -> DataFrame:
+    return out.select("query_id", "case_id", F.round("score", 9).alias("score"), "rerank_score", "final_rank")
+
+
+@query
+def search_hybrid(t: Tables) -> DataFrame:
+    return _found(search.search(queries=_asked(t), k=20, scorer=stand_in_scorer, **_corpus(t)))
+
+
+@query
+def search_lexical(t: Tables) -> DataFrame:
+    """One list with priors only, and only of cases that a filter lets through."""
+    corpus = _corpus(t)
+    allowed = corpus["meta"].where("court in ('SCC', 'FC')")
+    return _found(search.search(queries=_asked(t), k=10, mode="lexical", allowed=allowed, **corpus)).drop("rerank_score")
+
+
+@query
+def scenario_groups(t: Tables) -> DataFrame:
+    """Every four passages are a scenario: the first leads, the others are its issues, gated by the scorer."""
+    asked = _asked(t).select(F.struct(F.expr("query_id div 4").alias("scenario_id"), (F.col("query_id") % 4).cast("int").alias("list_no")).alias("query_id"), "text", "vector")
+    groups = search.search_scenario(queries=asked, scorer=stand_in_scorer, k=10, lead=search.COMBINED_LEAD, **_corpus(t))
+    return groups.select("scenario_id", "group_no", "item", "position", "number", "is_pointer")
+
+
+@query
+def section_pool(t: Tables) -> DataFrame:
+    lists = _vector_hits(t).select("query_id", "source", "rank", F.col("chunk_id").alias("item"))
+    support = t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n_seeds"), F.min("vec_id").alias("item"))
+    asked = _seed_vectors(t).select("query_id", (F.col("query_id") % 7).alias("_k"))
+    dealt = support.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(6)))).join(asked, "_k").select("query_id", "item", "n_seeds")
+    return search.section_pool(lists, dealt, 10)
+
+
+@query
+def section_scope(t: Tables) -> DataFrame:
+    """Parts as laws: their maker is the jurisdiction, their type the kind, their brand the code."""
+    laws_of = t.part.select("p_partkey", F.substring("p_name", 1, 1).alias("jurisdiction"), F.when(F.col("p_size") == 7, "constitution").otherwise("act").alias("kind"), F.col("p_brand").alias("code"))
+    return search.section_scope(laws_of, ["a", "b"], ["Brand#12", "Brand#34"]).select("p_partkey", "kind", "code")
+
+
+@query
+def supported_sections(t: Tables) -> DataFrame:
+    lines = t.lineitem.select(
+        F.col("l_orderkey").alias("scenario_id"), (F.col("l_linenumber") - 1).alias("list_no"), F.col("l_linenumber").alias("rank"), (F.col("l_suppkey") % 10).alias("code"), F.col("l_partkey").alias("section_no"),
+        (F.col("l_partkey") % 3).alias("cited_by_count"), F.when(F.col("l_quantity") > 40, 1).otherwise(0).alias("n_seeds"), F.when(F.col("l_partkey") % 5 > 0, F.col("l_quantity") - 20).alias("rerank_score"),
+    )
+    named = t.orders.select(F.col("o_orderkey").alias("scenario_id"), (F.col("o_custkey") % 10).alias("code"))
+    return search.supported_sections(lines, named).select("scenario_id", "list_no", "code", "section_no")
+
+
+@query
+def uncovered_regulations(t: Tables) -> DataFrame:
+    """Regulations of the orders' sentences but those that are a law already."""
+    cited = cited_rows(t).select(F.col("id").alias("case_id"), F.explode(text.regulation_refs(F.col("text"))).alias("r")).select("case_id", "r.citation")
+    held = t.part.select(F.concat(F.lit("O. Reg. "), F.col("p_partkey").cast("string"), F.lit("/95")).alias("code"))
+    return search.uncovered_regulations(cited, held)
+
+
+@query
+def related_cases(t: Tables) -> DataFrame:
+    """Nearest vectors without the query's own: k + 1 are asked and k stay."""
+    near = vector.cosine_topk(t.embeddings, _seed_vectors(t), 6).select("query_id", F.col("item_id").alias("case_id"), F.col("rank").alias("final_rank"))
+    return search.related(near, _seed_vectors(t).select("query_id", F.col("query_id").alias("case_id")), 5).select("query_id", "case_id", "rank")
+
+
+@query
+def issue_labels(t: Tables) -> DataFrame:
+    lists = _issue_lists(t).groupBy("grp", "list_no", "item").agg(F.min("rank").alias("rank"))
+    groups = ranking.group_issues(lists, 8, 3, 3, ["grp"]).withColumnRenamed("grp", "scenario_id")
+    return search.issue_labels(groups).select("scenario_id", "item", F.array_join(F.transform("issues", lambda x: x.cast("string")), ",").alias("issues"))
+
+
+@query
+def unique_seeds(t: Tables) -> DataFrame:
+    groups = _issue_lists(t).select(F.col("grp").alias("query_id"), F.col("list_no").alias("group_no"), F.col("rank").alias("position"), F.col("item").alias("seed"))
+    return citator.unique_seeds(groups)
+
+
+@query
+def candidate_links(t: Tables) -> DataFrame:
+    """Suppliers as candidates of databases (nations, regions their jurisdictions), some of databases nobody knows."""
+    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("n_name").alias("database_id"), F.lower("r_name").alias("jurisdiction"), F.col("n_name").alias("name"))
+    mine = citator.candidate_databases(places, "asia", ("china",)).select("database_id", "jurisdiction", "name")
+    named = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.lower("n_name").alias("database_id"))
+    candidates = t.supplier.select("s_suppkey", F.col("s_nationkey").cast("int").alias("s_nationkey")).join(named, "s_nationkey")
+    rows = candidates.select("database_id", F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("case_id"), (F.col("s_suppkey") % 30 + 1990).alias("year"))
+    return citator.named_candidates(rows, mine).select("database_id", "case_id", "court_name", "url")
+
+
+@query
+def candidate_metadata(t: Tables) -> DataFrame:
+    """Metadata laid over what a candidate list knew, with what a scorer reads."""
+    known = t.customer.select(F.col("c_custkey").alias("case_id"), F.col("c_name").alias("title"), F.lit("old").alias("citation"), F.lit("link").alias("url"))
+    meta = t.orders.groupBy(F.col("o_custkey").alias("case_id")).agg(F.min("o_orderkey").alias("k")).where("k % 2 = 0").select(
+        "case_id", F.when(F.col("k") % 3 == 0, "").otherwise(F.concat(F.lit("title "), F.col("k").cast("string"))).alias("title"), F.col("k").cast("string").alias("citation"), F.lit(None).cast("string").alias("url"),
+        F.when(F.col("k") % 4 == 0, "long link").alias("long_url"), F.when(F.col("k") % 5 > 0, "words").alias("keywords"), F.lit("").alias("topics"), F.when(F.col("k") % 7 > 0, "2001-02-03").otherwise("2001-02-99").alias("decision_date"),
+    )
+    out = citator.with_metadata(known, meta, ["case_id"])
+    return out.select("case_id", "title", "citation", "url", "decision_date", citator.describe(F.col("title"), F.col("topics"), F.col("keywords")).alias("described"))
+
+
+@query
+def cited_authorities(t: Tables) -> DataFrame:
+    cited = _order_seeds(t).join(_supplier_edges(t), "src").withColumn("title", F.concat(F.lit("t"), (F.col("dst") % 7).cast("string")))
+    resolved = t.supplier.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("dst"), F.col("s_suppkey").alias("corpus_id"))
+    exclude = resolved.select(F.explode(F.array(*[F.lit(q) for q in PRIORITIES])).alias("query_id"), "corpus_id").where("corpus_id % 2 = 0")
+    return citator.cited_authorities(cited, resolved, exclude, 15)
+
+
+@query
+def corpus_citations(t: Tables) -> DataFrame:
+    """Names a citator entry may have in the corpus, from entries made of each order."""
+    k = F.col("o_orderkey").cast("string")
+    entry = F.concat(F.year("o_orderdate").cast("string"), F.lit(" CanLII "), k, F.lit(" (ON CA), 2003 ONCA "), k, F.lit(", [1999] 2 SCR "), k)
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.array_join(citator.corpus_citations(entry), "; ").alias("citations"), citator.name_year(F.when(F.col("o_orderkey") % 2 == 0, "onca").otherwise("onsc"), entry).alias("year"))
+
+
+@query
+def case_statutes(t: Tables) -> DataFrame:
+    """The lines of every twentieth order: one of each part's brand, the lowest line, most cited brand first."""
+    counts = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.countDistinct("l_orderkey").alias("n"))
+    mine = t.lineitem.where("l_orderkey % 20 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey", "p_brand").agg(F.min("l_linenumber").alias("line"))
+    return mine.join(counts, "p_brand").select("l_orderkey", "p_brand", "line", "n")
+
+
+@query
+def summaries_of_cases(t: Tables) -> DataFrame:
+    """Two tables on a composite key, a source resolved by two columns, and what is left when it doesn't."""
+    first = t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"))
+    last = t.events.groupBy("user_id", "event_type").agg(F.max("event_id").alias("last_event"), F.max("value").alias("v")).where("v > 50")
+    return first.join(last, ["user_id", "event_type"], "left").select("user_id", "event_type", "first_event", F.col("last_event").isNotNull().alias("loaded"))
+
+
+@query
+def nearest_chunk_per_case(t: Tables) -> DataFrame:
+    """Of every case (label) the chunk nearest to each query, as DISTINCT ON by distance."""
+    asked = _seed_vectors(t).withColumnRenamed("query", "vector")
+    cases = t.embeddings.select(F.col("label").alias("case_id")).distinct()
+    dealt = asked.select("query_id", (F.col("query_id") % 3).alias("_k")).join(cases.select("case_id", (F.col("case_id") % 3).alias("_k")), "_k")
+    return search.nearest_chunks(dealt.select("query_id", "case_id"), t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("case_id"), "embedding"), asked)
+
+
+@query
+def law_kinds(t: Tables) -> DataFrame:
+    """Laws (parts) by kind: how many, their lines and characters; only of makers that a user hasn't excluded."""
+    rows = search.optional(t.part, p_size=(5, None), p_retailprice=(None, None), p_name=None)
+    kept = rows.where(~F.col("p_brand").isin("Brand#11", "Brand#55"))
+    return kept.groupBy("p_type").agg(F.count(F.lit(1)).alias("laws"), F.sum(F.length("p_name")).alias("chars"), F.count(F.when(F.col("p_name").rlike("[aeiou]{2}"), 1)).alias("with_pair"))
+
+
+@query
+def key_terms(t: Tables) -> DataFrame:
+    """What must be found of an authority, from authorities made of each part."""
+    k = F.col("p_partkey").cast("string")
+    authority = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Roe v. Doe, 2001 SCC "), k)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("ss. 12(1) and 14 of the "), F.initcap("p_name"), F.lit(" Act, s. "), k)).otherwise("abc")
+    return t.part.select("p_partkey", F.array_join(text.key_terms(authority), "|").alias("terms"))
+
+
+@query
+def leaked_words(t: Tables) -> DataFrame:
+    """Words of a decision's name that a scenario tells, for every part: its name and a sentence with its last word."""
+    said = F.concat(F.lit("The tenant of "), F.element_at(F.split("p_name", " "), -1), F.lit(" left the board."))
+    return t.part.select("p_partkey", F.array_join(text.leaks(said, F.concat("p_name", F.lit(" Board"))), ",").alias("leaked"))
+
+
+@query
+def merge_strategies(t: Tables) -> DataFrame:
+    """Two ways of merging the same lists, scored against the same gold."""
+    lists = _issue_lists(t).groupBy("grp", "list_no", "item").agg(F.min("rank").alias("rank")).withColumnRenamed("grp", "scenario_id")
+    gold = lists.where("item % 5 = 0").select(F.col("scenario_id").alias("query_id"), "item", F.lit(1).alias("gain")).distinct()
+    out = evaluation.compare_merges(lists, gold, {"lead3": (8, 3), "lead0": (8, 0)})
+    return out.select("strategy", "query_id", "n_gold", "recall_5", "mrr")
+
+
+@query
+def statute_gold(t: Tables) -> DataFrame:
+    """The parts of each customer's orders that are named at least twice, the three most frequent brands."""
+    lines = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.part.select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    refs = lines.select(F.col("o_custkey").alias("doc_id"), F.col("p_brand").alias("code"), (F.col("p_size") % 2).alias("section_no"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("start"))
+    return evaluation.most_cited_pairs(refs)
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------
@@ -407,11 +623,10 @@ def regulation_citing_counts(t: Tables) -> DataFrame:
 
 @query
 def ndcg_recall_mrr(t: Tables) -> DataFrame:
-    """BM25 lists of the benchmark scored against the documents of the same first word, two grades."""
+    """BM25 lists of the benchmark scored against the documents that hold the passage, in two grades."""
     hits = lexical.bm25_topk(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 10).select("query_id", F.col("doc_id").alias("item"), "rank")
-    gold = hits.where("item % 2 = 0").select("query_id", "item", F.when(F.col("item") % 3 == 0, 2).otherwise(1).alias("gain"))
-    missing = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(-1).cast("long").alias("item"), F.lit(1).alias("gain"))
-    return evaluation.score_lists(hits, gold.unionByName(missing))
+    gold = evaluation.containing(t.documents, t.benchmark).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item"), F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1).alias("gain"))
+    return evaluation.score_lists(hits, gold).drop("recall_50")
 
 
 @query
@@ -424,8 +639,11 @@ def mean_metrics_by_group(t: Tables) -> DataFrame:
 def config_grid(t: Tables) -> DataFrame:
     """Every configuration on the same lists, in one job; the smallest near-best weights win."""
     grid = evaluation.grid(t.spark, {"graph": [0.0, 0.5, 1.0], "prior": [0.0, 0.002], "rerank": [0.0, 1.0]})
-    rows = t.part.select((F.col("p_size") % 5).alias("query_id"), "p_partkey", (1.0 / (60 + F.col("p_size"))).alias("base"), (F.col("p_partkey") % 7 == 0).alias("gold"))
-    return evaluation.tune(rows, grid)
+    rows = t.part.select(
+        (F.col("p_size") % 5).alias("query_id"), F.col("p_partkey").alias("item"), (1.0 / (60 + F.col("p_size"))).alias("base"), (F.col("p_partkey") % 7 == 0).alias("gold"),
+        (F.col("p_partkey") % 11 / 1000).alias("graph"), (F.col("p_partkey") % 3).cast("double").alias("prior"), ((F.col("p_partkey") % 7 == 0).cast("int") / 100).alias("rerank"),
+    )
+    return evaluation.tune(rows, grid, ["graph", "prior", "rerank"])
 
 
 # --- sequential text logic: rows only ----------------------------------------------------------------------------
@@ -442,18 +660,22 @@ LAWS = [
     ("Immigration and Refugee Protection Act", "I-2.5", "act", "federal"),
     ("Constitution Act, 1982", "CONST-1982", "constitution", "federal"),
 ]
-SAID = [
-    (-1, "See Income Tax Act, s. 18(1)(a) and 18(1)(h), and s. 97 of IRPA; a breach of section 8 of the Charter"),
-    (-2, "Income Tax Act, R.S.O. 1990, c. I.2, s. 4; under subsection 3(1) of the Act"),
-    (-3, "Hobbs v. TDI Canada Ltd. (2004), 246 D.L.R. (4th) 43 (Ont. C.A.)"),
-]
 
 
 @query
 def section_references(t: Tables) -> DataFrame:
-    """References of all documents and of a few statements that have some."""
-    said = t.spark.createDataFrame(SAID, "doc_id long, text string")
-    return laws.section_references(t.documents.select("doc_id", "text").unionByName(said), laws.LawIndex.from_rows(LAWS))
+    """References of all documents and of a statement about every order, in four forms."""
+    k = F.col("o_orderkey")
+    a, b = (k % 200 + 1).cast("string"), (k % 9 + 1).cast("string")
+    forms = [
+        F.concat(F.lit("Under section "), a, F.lit("("), b, F.lit(") of the Income Tax Act, the claim fails.")),
+        F.concat(F.lit("See Immigration and Refugee Protection Act, S.C. 2001, c. 27, s. "), a, F.lit(".")),
+        F.concat(F.lit("The Income Tax Act governs. Subsection "), a, F.lit("("), b, F.lit(") of the Act is plain.")),
+        F.concat(F.lit("For the province: Income Tax Act, R.S.O. 1990, c. I.2, s. "), a, F.lit(".")),
+    ]
+    said = t.orders.select(k.alias("doc_id"), F.element_at(F.array(*forms), (k % 4 + 1).cast("int")).alias("text"))
+    both = t.documents.select((-1 - F.col("doc_id")).alias("doc_id"), "text").unionByName(said)
+    return laws.section_references(both, laws.LawIndex.from_rows(LAWS)).select("doc_id", "code", "section_no", "pinpoint", "start", "confidence")
 
 
 @query
