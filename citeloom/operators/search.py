@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import ranking
 from citeloom.operators.lexical import Postings, bm25_topk
+from citeloom.operators.scratch import written
 from citeloom.operators.vector import cosine_topk
 
 # Depth of the two lists, pools, gates of issue lists, groups and leads of scenarios.
@@ -79,7 +80,7 @@ def hits(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", allowed: D
         found = cosine_topk(mine, queries.select("query_id", F.col("vector").alias("query")), depth, "chunk_id", "embedding")
         lists.append(found.select("query_id", F.lit("vector").alias("source"), "rank", F.col("item_id").alias("chunk_id")))
     both = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
-    return both.join(chunks.select("chunk_id", "case_id"), "chunk_id")
+    return written(both.join(chunks.select("chunk_id", "case_id"), "chunk_id"), "hits")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -115,7 +116,7 @@ def search(
         config = replace(config, graph_weight=0.0, rerank_weight=0.0)
     known = meta if allowed is None else meta.join(allowed.select("case_id"), "case_id", "left_semi")
     found = hits(chunks, queries, mode, allowed, depth, postings)
-    fused = ranking.fuse(found)
+    fused = written(ranking.fuse(found), "fused")
     ranked = ranking.expand(fused, edges, known, config) if config.graph_weight else fused
     ranked = ranking.with_priors(ranked, known, config).select("query_id", "case_id", "score")
     if scorer is None or not config.rerank_weight:
@@ -169,7 +170,7 @@ def search_scenario(
 ) -> DataFrame:
     """Groups of each scenario from its lists' queries (``scenario_queries`` with a column ``vector``), all in one job."""
     found = search(chunks, queries, edges, meta, max(k, ISSUE_DEPTH), scorer=scorer, **options)  # type: ignore[arg-type]
-    return scenario_groups(gated_lists(found), k, lead, per_issue)
+    return scenario_groups(written(gated_lists(found), "lists"), k, lead, per_issue)
 
 
 # --- sections -------------------------------------------------------------------------------------------------------
