@@ -1,100 +1,53 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
-
-An encoding is the best path through the lattice of pieces, the one with the largest sum of piece scores.  Over the
-semiring (max, +) a chunk of text is a matrix: entry (i, j) is the best score of a path that enters the chunk i
-characters behind its start (the last piece of the chunk before reached over by i) and leaves it j characters behind
-its end.  Matrices of neighbouring chunks combine associatively; a scan over them gives the boundary states of the
-best path, and every chunk is then backtraced by itself from its two boundary states.
-
-A table takes these steps: chunks of giant documents become rows and make their matrices in parallel; a scan over each
-document's matrices (a few numbers a chunk) gives the scores before every chunk; each chunk then says, in parallel,
-which state before it leads best to each state behind it, a composition of these tables fixes the states, and chunks
-are backtraced in parallel.
-Documents of one chunk take the short way: in the vocabulary no piece holds a word mark behind another character, so
-paths meet at every word start, the matrix there is a single number, and words are encoded one by one with a cache.
-Words that the cache lacks are searched a batch at a time, those of one length together.
-
-Ties: the path whose last piece is longest, then the same for what is before it.  A character that no piece covers is
-one step with a penalty, decoded into the byte pieces of its UTF-8 form.
+"""SentencePiece encoding and decoding of a BPE model by a max-plus parallel scan.
+
+The encoding that merging gives is the one sequence of pieces in which every two neighbours are compatible: merging the
+two together gives just these two again.  So it is a path through the lattice of piece occurrences whose weight is 0
+where neighbours are compatible and minus infinity elsewhere, and exactly one path from end to end has weight 0.  Over
+the semiring (max, +) a chunk of text is a matrix from the boundary states before it to those behind it; a state is the
+occurrence that holds the character before the boundary and may reach beyond it.  Matrices of neighbouring chunks
+combine associatively; a scan over them fixes the state at every boundary, and each chunk is then backtraced by itself.
+
+No piece has a word mark behind another character, so nothing crosses the start of a word and all states there are one.
+Chunks are cut at word starts where there is one near; their matrix then is a single number and their words are encoded
+one by one, with a cache.  Inside a word longer than a chunk the states are real.
+
+A table takes these steps: chunks of long documents become rows and make their matrices in parallel; a scan over each
+document's matrices (mostly one number a chunk) gives the state before and behind every chunk; chunks are traced in
+parallel and put together.  Documents of one chunk are encoded as they are read.
+
+A character that no piece covers stands by itself and is written as the byte pieces of its UTF-8 form.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
-import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored
+from citeloom.llm.common import dropped, stored
 
 MARK = "▁"
-#: Characters of a chunk of a giant document.
-CHUNK = 8_192
-PENALTY = 10.0
+#: Characters of a chunk; texts up to GIANT are one chunk.
+CHUNK, GIANT = 8_192, 32_768
 NEVER = -1e18
+#: Words up to this length are merged step by step, which takes the square of their length; longer ones go by the lattice.
+_MERGED = 48
 _CACHE = 400_000
 _WORD = re.compile("▁+[^▁]*")
-#: Words up to this length are searched many at a time; longer ones one by one.
-_TOGETHER = 40
-
-
-class PieceTable:
-    """Pieces by a 64-bit polynomial hash of their characters: two direct tables, the second for what collides."""
-
-    BASE = np.uint64(0x9E3779B97F4A7C15)
-
-    def __init__(self, pieces: list[str], ids: list[int], scores: list[float]) -> None:
-        self.keys = np.array([0, *(self.hash(p) for p in pieces)], np.uint64)
-        self.ids = np.array([-1, *ids], np.int64)
-        self.scores = np.array([NEVER, *scores])
-        if len(np.unique(self.keys)) != len(self.keys):
-            raise ValueError("two pieces have one hash")
-        self.first = np.zeros(1 << 20, np.int32)
-        at = self._slot(self.keys, 20)
-        self.first[at[:0:-1]] = np.arange(len(self.keys) - 1, 0, -1)
-        rest = np.flatnonzero(self.first[at] != np.arange(len(at)))
-        rest = rest[rest > 0]
-        bits = 16
-        while len(np.unique(self._other(self.keys[rest], bits))) < len(rest):
-            bits += 1
-        self.bits = bits
-        self.second = np.zeros(1 << bits, np.int32)
-        self.second[self._other(self.keys[rest], bits)] = rest
 
-    @classmethod
-    def hash(cls, piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(cls.BASE) + ord(c)) & (1 << 64) - 1
-        return h
-
-    @staticmethod
-    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-        return (((keys ^ keys >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    @staticmethod
-    def _other(keys: np.ndarray, bits: int) -> np.ndarray:
-        return (((keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, 0 where there is none."""
-        a = self.first[self._slot(keys, 20)]
-        miss = self.keys[a] != keys
-        if miss.any():
-            b = self.second[self._other(keys[miss], self.bits)]
-            b[self.keys[b] != keys[miss]] = 0
-            a[miss] = b
-        return a
+#: A boundary state: the start and the end of an occurrence, relative to the boundary; WORD where a word starts.
+State = tuple[int, int]
+WORD: State = (0, 0)
 
 
 class Pieces:
-    """Pieces and scores of a SentencePiece model file."""
+    """Pieces of a SentencePiece BPE model file, in the order in which they are merged."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -105,171 +58,172 @@ class Pieces:
         self.text = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         self.score = {p: sp.get_score(i) for p, i in self.text.items()}
         self.longest = max(map(len, self.text))
-        self.unknown = min(self.score.values()) - PENALTY
         self.raw = np.full(n, b"", object)
         for p, i in self.text.items():
             self.raw[i] = p.encode()
         for b, i in enumerate(self.bytes):
             self.raw[i] = bytes([b])
-        self.table = PieceTable(list(self.text), list(self.text.values()), [self.score[p] for p in self.text])
-        #: A word's encoding is its own if no piece has a mark behind another character.
-        self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.text)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        if any(MARK in p.lstrip(MARK) for p in self.text):
+            raise ValueError("a piece of this model crosses the start of a word")
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     @classmethod
     @functools.cache
     def load(cls, path: str) -> Pieces:
         return cls(path)
 
-    def edges(self, text: str, end: int) -> Iterator[tuple[int, float]]:
-        """(start, score) of the pieces that end at ``end``, earliest start first."""
-        for start in range(max(0, end - self.longest), end):
-            score = self.score.get(text[start:end])
-            if score is not None:
-                yield start, score
-            elif start == end - 1:
-                yield start, self.unknown
-
     def ids(self, piece: str) -> list[int]:
         i = self.text.get(piece)
         return [i] if i is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def best(self, text: str) -> list[str]:
-        """Best path of a text, as pieces."""
-        n, get, longest = len(text), self.score.get, self.longest
-        score, back = [0.0], [0]
-        for end in range(1, n + 1):
-            top, at = NEVER, 0
-            for start in range(end - longest if end > longest else 0, end):
-                s = get(text[start:end])
-                if s is None:
-                    if start < end - 1:
-                        continue
-                    s = self.unknown
-                if score[start] + s > top:
-                    top, at = score[start] + s, start
-            score.append(top)
-            back.append(at)
-        out = []
-        while n:
-            out.append(text[back[n] : n])
-            n = back[n]
-        return out[::-1]
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words that the cache lacks, those of one length together."""
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        for length, some in by_length.items():
-            if length <= _TOGETHER and len(some) >= 8:
-                for at in range(0, len(some), 8192):
-                    self.cache.update(zip(some[at : at + 8192], self.together(some[at : at + 8192], length), strict=True))
+    def merge(self, text: str) -> list[str]:
+        """The model's pieces of a short text: the pair of the highest score is merged first, the left-most if equal."""
+        parts, score = list(text), self.score.get
+        worth = [score(a + b, NEVER) for a, b in itertools.pairwise(parts)]
+        while worth:
+            best = max(worth)
+            if best == NEVER:
+                break
+            at = worth.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del worth[at]
+            if at:
+                worth[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+            if at < len(worth):
+                worth[at] = score(parts[at] + parts[at + 1], NEVER)
+        return parts
+
+    def compatible(self, a: str, b: str) -> bool:
+        """Whether b may follow a; ``a`` is empty where a word starts."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            if len(self.pairs) > _CACHE:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+        return found
+
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of one word with its marks."""
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > _CACHE:
+                self.words.clear()
+            if len(word) <= _MERGED:
+                found = tuple(i for p in self.merge(word) for i in self.ids(p))
             else:
-                self.cache.update((w, tuple(i for p in self.best(w) for i in self.ids(p))) for w in some)
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the new words of a batch of texts at once."""
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        if self.words_apart:
-            new: set[str] = set()
-            for t in texts:
-                new.update(split_words(mark(t)))
-            self.learn([w for w in new if w not in self.cache])
-
-    def together(self, words: list[str], length: int) -> list[tuple[int, ...]]:
-        """Best paths of many words of one length: the steps of ``best`` on arrays."""
-        n, base = len(words), PieceTable.BASE
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).astype(np.uint64)
-        prefix = np.zeros((length + 1, n), np.uint64)
-        power = [np.uint64(1)]
-        for e in range(length):
-            prefix[e + 1] = prefix[e] * base + points[:, e]
-            power.append(np.uint64(int(power[-1]) * int(base) & (1 << 64) - 1))
-        score, back, piece = np.zeros((length + 1, n)), np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
-        for e in range(1, length + 1):
-            starts = np.arange(max(0, e - self.longest), e)
-            keys = prefix[e] - prefix[starts] * np.array([power[e - s] for s in starts.tolist()], np.uint64)[:, None]
-            row = self.table.find(keys.ravel()).reshape(keys.shape)
-            gain = self.table.scores[row]
-            gain[-1][row[-1] == 0] = self.unknown
-            total = gain + score[starts]
-            pick = np.argmax(total, axis=0)  # the earliest start on ties
-            here = np.arange(n)
-            score[e], back[e], piece[e] = total[pick, here], starts[pick], self.table.ids[row[pick, here]]
-        out = []
-        for w, b, p in zip(words, back.T.tolist(), piece.T.tolist(), strict=True):
-            e, ids = length, []
-            while e:
-                i = p[e]
-                if i >= 0:
-                    ids.append(i)
-                else:
-                    ids += self.ids(w[b[e] : e])[::-1]
-                e = b[e]
-            out.append(tuple(ids[::-1]))
-        return out
+                found = tuple(self.trace(Chunk(word, 0, len(word), 0, len(word)), WORD, (self.last(word) - len(word), 0)))
+            self.words[word] = found
+        return found
+
+    def last(self, word: str) -> int:
+        """Where the last piece of a word starts."""
+        whole = Chunk(word, 0, len(word), 0, len(word))
+        row = self.transfer(whole)[0]
+        return len(word) + self.states(whole, len(word))[int(np.argmax(row))][0]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text that stands in one chunk."""
-        marked = mark(text)
-        if not self.words_apart:
-            return [i for p in self.best(marked) for i in self.ids(p)]
-        words = split_words(marked)
-        found = list(map(self.cache.get, words))
-        if None in found:
-            self.learn(list({w for w, f in zip(words, found, strict=True) if f is None}))
-            found = [f or self.cache[w] for w, f in zip(words, found, strict=True)]
-        return list(itertools.chain.from_iterable(found))
+        return list(itertools.chain.from_iterable(map(self.word, split_words(mark(text)))))
 
     def decode(self, ids: np.ndarray) -> str:
         inside = ids[(ids >= 0) & (ids < len(self.raw))]
         return unmark(b"".join(self.raw[inside].tolist()).decode("utf-8", "surrogatepass"))
 
-    # --- one chunk of a giant document ---
-
-    def matrix(self, text: str, at: int, end: int) -> np.ndarray:
-        """Transfer matrix of text[at:end]; text goes on behind ``end`` by up to ``longest`` characters."""
-        k = self.longest
-        return np.array([self.leave(text, at, end, np.where(np.arange(k) == i, 0.0, NEVER)) for i in range(k)])
-
-    def leave(self, text: str, at: int, end: int, enter: np.ndarray) -> np.ndarray:
-        """Best scores of the boundary states behind the chunk from those before it."""
-        out = np.full(self.longest, NEVER)
-        reach = self._forward(text, at, end, enter)[0][end - at : end - at + self.longest]
-        out[: len(reach)] = reach
-        return out
-
-    def _forward(self, text: str, at: int, end: int, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best score of each place from ``at`` on by pieces that start before ``end``; back: -1 where entered."""
-        stop = min(len(text), end + self.longest - 1)
-        score, back = np.full(stop - at + 1, NEVER), np.full(stop - at + 1, -1, np.int64)
-        n = min(len(enter), len(score))
-        score[:n] = enter[:n]
-        for e in range(at + 1, stop + 1):
-            for start, s in self.edges(text, e):
-                if at <= start < end and score[start - at] > NEVER / 2 and score[start - at] + s > score[e - at]:
-                    score[e - at], back[e - at] = score[start - at] + s, start
-        return score, back
-
-    def _walk(self, back: np.ndarray, at: int, e: int) -> list[int]:
-        """Ends of the pieces that start in the chunk, from ``e`` back to the place of entry."""
-        out = [e]
-        while back[e - at] >= 0:
-            e = int(back[e - at])
-            out.append(e)
+    # --- one chunk ---
+
+    def starting(self, text: str, at: int) -> Iterator[str]:
+        """Pieces that stand in the text from ``at`` on; its character alone if no piece is that character."""
+        for end in range(at + 1, min(len(text), at + self.longest) + 1):
+            if text[at:end] in self.text or end == at + 1:
+                yield text[at:end]
+
+    def states(self, chunk: Chunk, at: int) -> list[State]:
+        """The states at a boundary of a chunk, in one order for the chunks on both sides."""
+        if chunk.word_starts(at):
+            return [WORD]
+        text, out = chunk.text, []
+        for start in range(max(0, at - self.longest), at):
+            out += [(start - at, start + len(p) - at) for p in self.starting(text, start) if start + len(p) >= at]
         return out
 
-    def entries(self, text: str, at: int, end: int, enter: np.ndarray) -> list[int]:
-        """For each state behind the chunk the state before it on the best path there."""
-        score, back = self._forward(text, at, end, enter)
-        return [self._walk(back, at, end + j)[-1] - at if end - at + j < len(score) and score[end - at + j] > NEVER / 2 else 0 for j in range(self.longest)]
-
-    def trace(self, text: str, at: int, end: int, enter: np.ndarray, leave: int) -> list[int]:
-        """Ids of the pieces that start in the chunk on the best path to the state ``leave``."""
-        places = self._walk(self._forward(text, at, end, enter)[1], at, end + leave)[::-1]
-        return [i for a, b in zip(places, places[1:], strict=False) for i in self.ids(text[a:b])]
+    def transfer(self, chunk: Chunk) -> np.ndarray:
+        """The chunk's matrix, from its states before to its states behind."""
+        before, behind = self.states(chunk, chunk.start), self.states(chunk, chunk.end)
+        if before == behind == [WORD]:
+            return np.zeros((1, 1))
+        enter = {s: np.where(np.arange(len(before)) == i, 0.0, NEVER) for i, s in enumerate(before)}
+        reached = self._forward(chunk, enter)[0]
+        never = np.full(len(before), NEVER)
+        return np.stack([reached.get((chunk.end + a, chunk.end + b), never) for a, b in behind], axis=1)
+
+    def _forward(self, chunk: Chunk, enter: dict[State, np.ndarray]) -> tuple[dict[State, np.ndarray], dict[State, State]]:
+        """Weights of the occurrences that end at or behind the chunk's end, and of each occurrence the one before it.
+
+        Occurrences are (start, end) in ``chunk.text``; a word start is the empty one, and words that lie between two
+        word starts of the chunk are passed over, as all paths through them weigh the same.
+        """
+        text, start, end = chunk.text, chunk.start, chunk.end
+        at: dict[int, dict[State, np.ndarray]] = {}
+        for (a, b), v in enter.items():
+            at.setdefault(start + b, {})[start + a, start + b] = v
+        back: dict[State, State] = {}
+        inner = [p for p in chunk.inner() if start <= p <= end]
+        for j in sorted({start, *range(start, end + 1)}):
+            here = at.get(j)
+            if not here:
+                continue
+            if chunk.word_starts(j):
+                # All paths meet; where the words up to the last start are whole, they are left to ``word``.
+                best = max(here, key=lambda o: here[o].max())
+                joined = functools.reduce(np.maximum, here.values())
+                back.setdefault((j, j), best) if best != (j, j) else None
+                here = at[j] = {(j, j): joined}
+                if inner and j < inner[-1]:
+                    at.setdefault(inner[-1], {})[inner[-1], inner[-1]] = joined
+                    back[inner[-1], inner[-1]] = (j, j)
+                    continue
+            if j >= end:
+                continue
+            for piece in self.starting(text, j):
+                k = j + len(piece)
+                fits = [o for o in here if self.compatible(text[o[0] : o[1]], piece)]
+                if fits:
+                    at.setdefault(k, {})[j, k] = functools.reduce(np.maximum, (here[o] for o in fits))
+                    back[j, k] = max(fits, key=lambda o: here[o].max())
+        return {o: v for j, found in at.items() if j >= end for o, v in found.items()}, back
+
+    def trace(self, chunk: Chunk, before: State, behind: State) -> list[int]:
+        """Ids of the pieces that start in the chunk on the path between two states."""
+        if before == behind == WORD:
+            return [i for w in split_words(chunk.text[chunk.start : chunk.end]) for i in self.word(w)]
+        back = self._forward(chunk, {before: np.zeros(1)})[1]
+        now, parts = (chunk.end + behind[0], chunk.end + behind[1]), []
+        first = (chunk.start + before[0], chunk.start + before[1])
+        while now != first:
+            earlier = back[now]
+            if now[0] < now[1]:
+                parts.append(self.ids(chunk.text[now[0] : now[1]]))
+            elif earlier[0] == earlier[1]:
+                parts.append([i for w in split_words(chunk.text[earlier[0] : now[0]]) for i in self.word(w)])
+            now = earlier
+        return [i for part in reversed(parts) for i in part]
+
+
+class Chunk:
+    """``text[start:end]`` with what lies around it; ``first`` and ``last`` are the marked text's ends in ``text``."""
+
+    def __init__(self, text: str, start: int, end: int, first: int, last: int) -> None:
+        self.text, self.start, self.end, self.first, self.last = text, start, end, first, last
+
+    def word_starts(self, at: int) -> bool:
+        return at == self.first or (at < self.last and self.text[at] == MARK and self.text[at - 1] != MARK)
+
+    def inner(self) -> list[int]:
+        """Word starts in the chunk, its ends included."""
+        found = [m.start() + 1 for m in re.finditer("[^▁]▁", self.text[max(0, self.start - 1) : self.end + 1])]
+        out = [max(0, self.start - 1) + p for p in found]
+        return [self.first, *out] if self.start == self.first else out
 
 
 def mark(text: str) -> str:
@@ -287,44 +241,60 @@ def split_words(marked: str) -> list[str]:
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product."""
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
-
-
-def start_vector(k: int) -> np.ndarray:
-    return np.where(np.arange(k) == 0, 0.0, NEVER)
-
-
-def prefix_scores(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """Scores of the boundary states before each chunk, by a scan from the text's start."""
-    out = [start_vector(len(matrices[0]))]
-    for m in matrices[:-1]:
-        out.append((out[-1][:, None] + m).max(axis=0))
+    """Max-plus product; impossible stays NEVER."""
+    return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEVER)
+
+
+def prefixes(matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """Products of the first 1, 2, ... matrices, by halves: neighbours are combined, and the odd ones follow from them."""
+    if len(matrices) < 2:
+        return list(matrices)
+    halves = prefixes([combine(a, b) for a, b in zip(matrices[::2], matrices[1::2], strict=False)])
+    out = [matrices[0]]
+    for i in range(1, len(matrices)):
+        out.append(halves[i // 2] if i % 2 else combine(halves[i // 2 - 1], matrices[i]))
     return out
 
 
-def boundary_states(entries: list[list[int]]) -> list[int]:
-    """The state behind each chunk on the best path, by composing the chunks' entry tables from the text's end."""
-    states = [0]
-    for table in reversed(entries[1:]):
-        states.append(table[states[-1]])
+def boundary_states(matrices: list[np.ndarray]) -> list[int]:
+    """The state at each boundary, the text's start and end included, on the one path of weight 0."""
+    before = [np.zeros(1), *(p[0] for p in prefixes(matrices))]
+    states = [int(np.argmax(before[-1]))]
+    for m, v in zip(matrices[::-1], before[-2::-1], strict=True):
+        states.append(int(np.argmax(v + m[:, states[-1]])))
     return states[::-1]
 
 
+def cut_points(marked: str, chunk: int = CHUNK) -> list[int]:
+    """Where chunks begin and end: the next word start within a chunk's length, else just there."""
+    out = [0]
+    while len(marked) - out[-1] > chunk:
+        at = out[-1] + chunk
+        found = re.search("[^▁]▁", marked[at - 1 : at + chunk])
+        out.append(at + found.start() if found else at)
+    return [*out, len(marked)] if marked and out[-1] < len(marked) else out
+
+
 def encode_scan(pieces: Pieces, text: str, chunk: int = CHUNK) -> list[int]:
-    """The steps on one text; equal to the best path of the whole."""
+    """The steps on one text."""
     marked = mark(text)
     if not marked:
         return []
-    cuts = [*range(0, len(marked), chunk), len(marked)]
-    spans = list(zip(cuts, cuts[1:], strict=False))
-    before = prefix_scores([pieces.matrix(marked, a, b) for a, b in spans])
-    leave = boundary_states([pieces.entries(marked, a, b, v) for (a, b), v in zip(spans, before, strict=True)])
-    return [i for (a, b), v, s in zip(spans, before, leave, strict=True) for i in pieces.trace(marked, a, b, v, s)]
+    chunks = [Chunk(marked, a, b, 0, len(marked)) for a, b in itertools.pairwise(cut_points(marked, chunk))]
+    states = boundary_states([pieces.transfer(c) for c in chunks])
+    return [i for c, a, b in zip(chunks, states, states[1:], strict=False) for i in pieces.trace(c, pieces.states(c, c.start)[a], pieces.states(c, c.end)[b])]
+
 
+_ROW = ["doc_id", "copy", "n"]
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = 1 << 18, chunk: int = CHUNK) -> DataFrame:
-    """One row per input row: ``doc_id, ids``.
+
+def _chunk_of(text: str, start: int, own: int, first: bool, last: bool) -> Chunk:
+    """A chunk from its row: ends of the document that aren't in ``text`` lie beyond it."""
+    return Chunk(text, start, start + own, 0 if first else -1, len(text) if last else len(text) + 1)
+
+
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """One row per input row: ``doc_id, ids``, equal to the library's ids for the whole text.
 
     Texts over ``giant`` characters are cut into chunks that are encoded as rows of their own.  Defined cases: null
     and empty texts have no ids; white space other than the space is a character like any other; repeated rows are
@@ -336,59 +306,59 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            pieces.prepare(texts)
-            ids = [np.array(pieces.encode(t), np.int32) for t in texts]
+            ids = [np.array(pieces.encode(t), np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     small = rows.where(F.length("text") <= giant).mapInArrow(short, f"doc_id {kind}, ids array<int>")
     large = rows.where(F.length("text") > giant)
-    if large.isEmpty():
-        return small
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead = Pieces.load(model).longest
+        around = Pieces.load(model).longest + 1
         for b in batches:
             for r, text in enumerate(b.column(1).to_pylist()):
                 marked = mark(text)
-                for n, at in enumerate(range(0, len(marked), chunk)):
-                    own = min(chunk, len(marked) - at)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), b.column(2).slice(r, 1), pa.array([n], pa.int32()), pa.array([own], pa.int32()), pa.array([marked[at : at + own + ahead]])], names=["doc_id", "copy", "n", "own", "text"])
+                for n, (at, end) in enumerate(itertools.pairwise(cut_points(marked, chunk))):
+                    low, high = max(0, at - around), min(len(marked), end + around)
+                    values = [pa.array([n], pa.int32()), pa.array([marked[low:high]]), pa.array([at - low], pa.int32()), pa.array([end - at], pa.int32()), pa.array([low == 0]), pa.array([high == len(marked)])]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), b.column(2).slice(r, 1), *values], names=[*_ROW, "text", "start", "own", "first", "last"])
 
     # Copies of one row are told apart, so that each is encoded by itself; the table is written before it is read twice.
     named = large.withColumn("copy", F.monotonically_increasing_id())
     key = f"doc_id {kind}, copy long, n int"
-    chunks = stored(named.select("doc_id", "text", "copy").mapInArrow(cut, f"{key}, own int, text string").repartition("doc_id", "n"), "pieces-chunks")
-
-    def each(make: Callable[[Pieces, tuple], list], name: str, table: DataFrame, kind_out: str) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces = Pieces.load(model)
-            for b in batches:
-                found = [make(pieces, row) for row in zip(*(c.to_pylist() for c in b.columns[3:]), strict=True)]
-                value = pa.float64() if "double" in kind_out else pa.int32()
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.list_(value))], names=["doc_id", "copy", "n", name])
-
-        return table.mapInArrow(run, f"{key}, {name} {kind_out}")
-
-    def by_document(make: Callable[[list], list], table: DataFrame, name: str, out: str, kind_out: str) -> DataFrame:
-        def run(group: pa.Table) -> pa.Table:
-            group = group.sort_by("n")
-            value = pa.list_(pa.float64()) if "double" in kind_out else pa.int32()
-            return pa.table([group["doc_id"], group["copy"], group["n"], pa.array(make(group[name].to_pylist()), value)], names=["doc_id", "copy", "n", out])
+    chunks = named.select("doc_id", "text", "copy").mapInArrow(cut, f"{key}, text string, start int, own int, first boolean, last boolean")
+    chunks = stored(chunks.repartition("doc_id", "n"), "pieces-chunks")
+    if chunks.isEmpty():
+        dropped(chunks)
+        return small
 
-        return table.groupBy("doc_id", "copy").applyInArrow(run, f"{key}, {out} {kind_out}")
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces.load(model)
+        for b in batches:
+            found = [pieces.transfer(_chunk_of(*row)) for row in zip(*(c.to_pylist() for c in b.columns[3:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(m) for m in found], pa.int32()), pa.array([m.ravel() for m in found], pa.list_(pa.float64()))], names=[*_ROW, "size", "matrix"])
 
-    at = ["doc_id", "copy", "n"]
-    matrices = each(lambda p, r: p.matrix(r[1], 0, r[0]).ravel().tolist(), "matrix", chunks, "array<double>")
+    def settle(group: pa.Table) -> pa.Table:
+        """States around each chunk of one document."""
+        group = group.sort_by("n")
+        found = [np.array(m).reshape(size, -1) for m, size in zip(group["matrix"].to_pylist(), group["size"].to_pylist(), strict=True)]
+        states = boundary_states(found)
+        return pa.table([group["doc_id"], group["copy"], group["n"], pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32())], names=[*_ROW, "before", "behind"])
 
-    def before_each(flat: list[list[float]]) -> list[list[float]]:
-        k = math.isqrt(len(flat[0]))
-        return [v.tolist() for v in prefix_scores([np.array(m).reshape(k, k) for m in flat])]
+    made = chunks.mapInArrow(matrices, f"{key}, size int, matrix array<double>")
+    settled = made.groupBy("doc_id", "copy").applyInArrow(settle, f"{key}, before int, behind int")
 
-    before = stored(by_document(before_each, matrices, "matrix", "before", "array<double>"), "pieces-before")
-    entered = each(lambda p, r: p.entries(r[1], 0, r[0], np.array(r[2])), "entries", chunks.join(before, at).select(*at, "own", "text", "before"), "array<int>")
-    leave = by_document(boundary_states, entered, "entries", "leave", "int")
-    traced = each(lambda p, r: p.trace(r[1], 0, r[0], np.array(r[2]), r[3]), "ids", chunks.join(before, at).join(leave, at).select(*at, "own", "text", "before", "leave"), "array<int>")
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces.load(model)
+        for b in batches:
+            ids = []
+            for *row, before, behind in zip(*(c.to_pylist() for c in b.columns[3:]), strict=True):
+                c = _chunk_of(*row)
+                ids.append(np.array(pieces.trace(c, pieces.states(c, c.start)[before], pieces.states(c, c.end)[behind]), np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.list_(pa.int32()))], names=[*_ROW, "ids"])
+
+    # A null id joins itself: the copies' numbers are unique.
+    joined = chunks.join(settled.drop("doc_id"), ["copy", "n"]).select(*_ROW, "text", "start", "own", "first", "last", "before", "behind")
+    traced = joined.mapInArrow(trace, f"{key}, ids array<int>")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])
     return small.unionByName(traced.groupBy("doc_id", "copy").agg(F.flatten(ordered).alias("ids")).select("doc_id", "ids"))
 

@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables with nulls, ties, copies and clashing columns."""
 
+import functools
 import hashlib
 import itertools
 import re
@@ -8,6 +9,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from citeloom.llm import packing, sharding
@@ -17,7 +20,7 @@ from citeloom.llm.fm_index import WaveletTree, window_minima
 from citeloom.llm.html_blocks import blocks
 from citeloom.llm.html_lstm import extract, labeller, trained, training_pages
 from citeloom.llm.language_id import identify, keep_identified, learn
-from citeloom.llm.max_plus import Pieces, decode, encode, encode_scan, mark
+from citeloom.llm.max_plus import NEVER, Pieces, combine, cut_points, decode, encode, encode_scan, mark, prefixes
 from citeloom.llm.near import drop_near, shingle_similarity
 from citeloom.llm.simhash import fingerprint, forest, links, near_groups
 from citeloom.llm.substring import drop_repeats, substring_dedup
@@ -359,43 +362,53 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in identify(df, learn(df.limit(0), F.lit(True))).collect()} == {"und"}
 
 
-def test_max_plus_scan_equals_the_whole_path(spark, texts):
-    path = str(public_tokenizers.path("piece_bpe_32k.model"))
-    p = Pieces.load(path)
-    rng = np.random.default_rng(6)
-    for t in ["", " ", "  two  marks ", "naïve ☃ 日本語\n\ttab", texts[10][:200], "".join(rng.choice(list("abc ▁é"), 60))]:
-        whole = [i for x in p.best(mark(t)) for i in p.ids(x)] if t else []
-        assert p.encode(t) == whole
-        assert encode_scan(p, t, chunk=int(rng.integers(2, 30))) == whole
-    # Every segmentation of a short text: none is better.
-    word = mark("the cat")
-    scores = []
-    for n in range(1 << len(word) - 1):
-        cuts = [0, *[i + 1 for i in range(len(word) - 1) if n >> i & 1], len(word)]
-        parts = [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        if all(x in p.score for x in parts):
-            scores.append(sum(p.score[x] for x in parts))
-    assert max(scores) == sum(p.score[x] for x in p.best(word))
-    for giant in (1 << 18, 100):
-        enc = encode(table(spark, texts), path, giant=giant, chunk=64)
-        ids = {r["doc_id"]: list(r["ids"]) for r in enc.collect()}
-        assert ids == {i: p.encode(t or "") for i, t in enumerate(texts)}
-    assert {r["doc_id"]: r["text"] for r in decode(encode(table(spark, texts), path), path).collect()} == {i: t or "" for i, t in enumerate(texts)}
-
-
-def test_sentencepiece_ids_are_the_library_s(spark, texts, tmp_path):
+PIECES = str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["the", "internationalization", " ", "  ", "aaaaa", "Straße", "é☃", "日本語", "12345", "<>\n\t", "xqzj", "▁", "\U0001d400", "ing"]), max_size=14), st.integers(1, 40))
+def test_scan_gives_the_library_s_ids(parts, chunk):
+    """Chunks of any length, cut inside words and pieces: the path through all transfer matrices is the BPE encoding."""
+    import sentencepiece
+
+    text = "".join(parts)
+    sp, p = sentencepiece.SentencePieceProcessor(model_file=PIECES), Pieces.load(PIECES)
+    assert encode_scan(p, text, chunk) == p.encode(text) == sp.encode(text)
+
+
+def test_matrices_combine_in_any_order():
+    rng = np.random.default_rng(5)
+    sizes = [1, 3, 4, 2, 5, 1]
+    ms = [np.where(rng.random((a, b)) < 0.5, 0.0, NEVER) for a, b in itertools.pairwise(sizes)]
+    left = functools.reduce(combine, ms)
+    assert np.array_equal(left, combine(ms[0], combine(combine(ms[1], ms[2]), combine(ms[3], ms[4]))))
+    assert all(np.array_equal(p, functools.reduce(combine, ms[: i + 1])) for i, p in enumerate(prefixes(ms)))
+    cuts = cut_points(mark("one two three " * 40 + "x" * 300), 50)
+    assert cuts[0] == 0 and all(a < b for a, b in itertools.pairwise(cuts)) and max(b - a for a, b in itertools.pairwise(cuts)) <= 100
+
+
+@pytest.mark.parametrize("giant", [1 << 15, 90])
+def test_sentencepiece_table(spark, texts, giant):
     import sentencepiece
 
-    from citeloom.llm.queries import op3_sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    more = [*texts, " ", "a ", "  two  marks ", "naïve ☃ 日本語\n\ttab", "a▁b ▁c", "q" * 700, "unbelievable internationalization of the segmentation"]
+    df = table(spark, more).unionByName(table(spark, more).where("doc_id = 7"))
+    out = decode(encode(df, PIECES, giant=giant, chunk=64), PIECES).collect()
+    assert len(out) == len(more) + 1
+    for r in out:
+        text = more[r["doc_id"]] or ""
+        assert list(r["ids"]) == sp.encode(text) and r["text"] == text.replace("▁", " ")
+    assert encode(df.limit(0), PIECES).count() == 0
+
+
+def test_sentencepiece_text_over_a_mebibyte(spark):
+    import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
-    more = [*texts, " ", "a ", "  two  marks ", "naïve ☃ 日本語\n\ttab", "a▁b ▁c", "unbelievable internationalization of the segmentation"]
-    table(spark, more).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
-    ids = spark.createDataFrame([(i, sp.encode(t or "")) for i, t in enumerate(more)], "doc_id long, ids array<int>")
-    expected = ids.select("doc_id", F.size("ids").cast("long"), F.xxhash64("ids"), F.lit(0)).collect()
-    out = op3_sentencepiece(spark, str(tmp_path)).collect()
-    assert sorted(tuple(r)[:3] for r in out) == sorted(tuple(r)[:3] for r in expected)
-    assert {r["doc_id"]: r["decoded_crc32"] for r in out} == {i: zlib.crc32((t or "").replace("▁", " ").encode()) for i, t in enumerate(more)}
+    text = " ".join([prose(9, 150_000, 9000), "z" * 40_000, prose(10, 60_000, 9000)])
+    assert len(text) > 1 << 20
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert list(encode(df, PIECES).first()["ids"]) == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text)
 
 
 def test_token_counts(spark, texts):
