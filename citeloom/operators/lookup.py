@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from citeloom.functions import text
 from citeloom.functions.laws import trigrams, word_similarity
 from citeloom.operators.lexical import bm25_topk
+from citeloom.operators.scratch import written
 
 # Fixed value: the least word similarity of a name.
 LEAST_SIMILARITY = 0.6
@@ -32,12 +33,18 @@ def by_citation(cases: DataFrame, queries: DataFrame) -> DataFrame:
 def by_name(cases: DataFrame, queries: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """Names whose word similarity with the query is at least ``least``.
 
-    A name must share that part of the query's trigrams, so pairs come from an equi-join on trigrams and a count, and
-    only they are scored.
+    Such a name shares that part of the query's trigrams, so it has one of the query's rarest ones, as many as the rest
+    and one more.  Pairs come from an equi-join on these alone, common trigrams never meet; what shares enough is scored.
     """
-    names = cases.select("case_id", "name", "cited_by_count", F.explode(_trigrams("name")).alias("_t"))
-    asked = queries.select("query_id", F.col("text").alias("_q"), _trigrams("text").alias("_ts")).select("query_id", "_q", F.size("_ts").alias("_n"), F.explode("_ts").alias("_t"))
-    shared = asked.join(names, "_t").groupBy("query_id", "_q", "_n", "case_id", "name", "cited_by_count").agg(F.count(F.lit(1)).alias("_k"))
+    names = written(cases.select("case_id", "name", "cited_by_count", _trigrams("name").alias("_nt")), "lookup-names")
+    asked = queries.select("query_id", F.col("text").alias("_q"), _trigrams("text").alias("_ts")).where(F.size("_ts") > 0)
+    each = names.select("case_id", F.explode("_nt").alias("_t"))
+    common = each.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
+    listed = asked.select("query_id", F.size("_ts").alias("_n"), F.explode("_ts").alias("_t")).join(common, "_t", "left")
+    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("_df", F.lit(0)), "_t")
+    first = listed.withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= F.col("_n") - F.ceil(F.lit(least) * F.col("_n")) + 1)
+    pairs = first.select("query_id", "_t").join(each, "_t").select("query_id", "case_id").distinct()
+    shared = pairs.join(asked, "query_id").join(names, "case_id").where(F.size(F.array_intersect("_ts", "_nt")) >= least * F.size("_ts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -45,7 +52,7 @@ def by_name(cases: DataFrame, queries: DataFrame, least: float = LEAST_SIMILARIT
             yield b[["query_id", "case_id", "cited_by_count"]].assign(score=scores)
 
     kinds = dict(shared.dtypes)
-    near = shared.where(F.col("_k") >= least * F.col("_n")).mapInPandas(run, f"query_id {kinds['query_id']}, case_id {kinds['case_id']}, cited_by_count {kinds['cited_by_count']}, score double")
+    near = shared.select("query_id", "case_id", "cited_by_count", "_q", "name").mapInPandas(run, f"query_id {kinds['query_id']}, case_id {kinds['case_id']}, cited_by_count {kinds['cited_by_count']}, score double")
     return near.where(F.col("score") >= least)
 
 
@@ -57,13 +64,13 @@ def by_keywords(cases: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def lookup(cases: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """``query_id, stage, case_id, score, rank``; ``cases(case_id, citation, citation2, name, text, cited_by_count)``.
 
-    All stages run for all queries as one job; the least stage with a row is kept for each query.
+    A stage only gets the queries that the stages before have found nothing for.
     """
-    stages = [by_citation(cases, queries), by_name(cases, queries), by_keywords(cases, queries, limit)]
-    both = None
-    for i, s in enumerate(stages):
-        part = s.select("query_id", "case_id", "cited_by_count", F.round("score", 6).alias("score"), F.lit(i).alias("stage"))
-        both = part if both is None else both.unionByName(part)
-    first = both.withColumn("_s", F.min("stage").over(Window.partitionBy("query_id"))).where("stage = _s").drop("_s")
+    parts, left = [], queries
+    for i, stage in enumerate((by_citation, by_name, lambda c, q: by_keywords(c, q, limit))):
+        found = written(stage(cases, left).select("query_id", "case_id", "cited_by_count", F.round("score", 6).alias("score"), F.lit(i).alias("stage")), "lookup-stage")
+        parts.append(found)
+        left = left.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("cited_by_count"), "case_id")
-    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "stage", "case_id", "score", "rank")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "stage", "case_id", "score", "rank")
