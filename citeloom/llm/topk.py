@@ -147,12 +147,13 @@ def top_products(
 
     Defined cases: vectors that are null, empty or hold null, NaN or infinite components take no part on either side;
     shorter vectors count as padded with zeros; fewer than k candidates give fewer rows; equal vectors are all
-    candidates; rows that repeat an id are candidates each, so an id may appear twice; empty tables give no rows; vectors of a squared length (scaled) over LARGEST
+    candidates; rows that repeat an id are candidates each, so an id may appear twice, and a query id that repeats is asked once, with the least of its vectors (as
+    bytes); empty tables give no rows; vectors of a squared length (scaled) over LARGEST
     raise an error, as their scores need not fit into a long.
     """
     spark = table.sparkSession
     vectors = stored(whole_vectors(table, id_col, vector_col, scale), "topk-vectors")
-    asked = stored(whole_vectors(queries, id_col, vector_col, scale).dropDuplicates(["vec_id"]), "topk-queries")
+    asked = stored(whole_vectors(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min(F.struct("payload", "dim")).alias("q")).select("vec_id", "q.payload", "q.dim"), "topk-queries")
     size = vectors.agg(F.count(F.lit(1)), F.max("dim")).first()
     n_asked, width = asked.agg(F.count(F.lit(1)), F.max("dim")).first()
     if not size[0] or not n_asked:
