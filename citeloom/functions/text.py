@@ -180,6 +180,41 @@ def search_query(parts: list[Column]) -> Column:
     return F.array_join(F.filter(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])), lambda x: F.trim(x) != ""), "; ")
 
 
+def with_fallback(query: Column, areas: Column) -> Column:
+    """The query, or the areas of law where there is none."""
+    return F.when(F.trim(F.coalesce(query, F.lit(""))) != "", query).otherwise(F.array_join(F.coalesce(areas, F.array().cast("array<string>")), "; "))
+
+
+#: Courts whose decisions bind in a province's matters, jurisdictions covered and not (fixed values).
+BINDING_COURTS = {"ontario": ["ONCA", "SCC"]}
+SCOPED, NOT_COVERED = ("federal", "ontario"), ("other_province",)
+
+
+def case_courts(jurisdiction: Column) -> Column:
+    """Courts that a search is narrowed to; null where it isn't."""
+    out = F.lit(None).cast("array<string>")
+    for name, courts in BINDING_COURTS.items():
+        out = F.when(jurisdiction == name, F.array(*map(F.lit, courts))).otherwise(out)
+    return out
+
+
+def jurisdiction_gate(jurisdiction: Column, clarifications: Column) -> Column:
+    """Struct (status, message): unsupported jurisdictions stop a search, and questions do where it is unknown."""
+    asked = F.array_join(F.coalesce(clarifications, F.array().cast("array<string>")), "; ")
+    status = F.when(jurisdiction.isin(*NOT_COVERED), "unsupported_jurisdiction").when((jurisdiction == "unknown") & (asked != ""), "needs_clarification").otherwise("ok")
+    message = F.when(jurisdiction.isin(*NOT_COVERED), F.concat(F.regexp_replace(jurisdiction, "_", " "), F.lit(" matters are not covered"))).otherwise(F.nullif(asked, F.lit("")))
+    return F.struct(status.alias("status"), message.alias("message"))
+
+
+def party_line(name: Column, as_written: Column, label: Column) -> Column:
+    """A party with its status as the decision writes it, else by its label."""
+    return F.concat(name, F.lit(" – "), F.lower(F.coalesce(F.nullif(F.trim(as_written), F.lit("")), label)))
+
+
+def decision_line(step: Column, answer: Column) -> Column:
+    return F.concat_ws(": ", F.nullif(step, F.lit("")), answer)
+
+
 def issue_queries(issues: Column, most: int = 10) -> Column:
     return F.slice(F.filter(issues, lambda x: x.isNotNull() & (F.trim(x) != "")), 1, most)
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import json
+import io
 import re
 import xml.etree.ElementTree as ET
+import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from citeloom.functions import text
 from citeloom.functions.chunking import MAX_CHARS, windows
@@ -202,25 +204,156 @@ def regulation_sections(pages: DataFrame, id_col: str = "page_id", html_col: str
     return rows.mapInPandas(run, f"page_id {dict(rows.dtypes)['page_id']}, section_no string, marginal_note string, heading string, text string")
 
 
+# --- the Constitution Acts page -------------------------------------------------------------------------------------
+
+
+class _Rows(HTMLParser):
+    """The page's content elements as flat rows (tag, classes, text, label); what a section or list holds is its own text."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.rows: list[tuple[str, frozenset[str], str, str]] = []
+        self.depth = self.inside = self.hidden = self.kept = 0  # open tags; depths where content, a hidden part, a row began
+        self.label_at = 0
+        self.row: tuple[str, frozenset[str]] = ("", frozenset())
+        self.parts: list[str] = []
+        self.label: list[str] = []
+        self.tags: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ("br", "img", "hr", "input", "meta", "link", "li", "p", "ul", "ol", "div", "dd", "dt", "td"):
+            self.parts.append(" ")  # a list's items don't run together
+        if tag in ("br", "img", "hr", "input", "meta", "link"):
+            return
+        values = dict(attrs)
+        classes = frozenset((values.get("class") or "").split())
+        self.tags.append(tag)
+        self.depth += 1
+        if values.get("id") == "docCont":
+            self.inside = self.depth
+        if not self.hidden and (tag == "sup" or any("wb-invisible" in c for c in classes)):
+            self.hidden = self.depth
+        if self.inside and not self.kept and tag in ("h2", "h3", "p", "ul"):
+            self.kept, self.row, self.parts, self.label = self.depth, (tag, classes), [], []
+        if self.kept and not self.label_at and tag == "span" and "sectionLabel" in classes:
+            self.label_at = self.depth
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag not in self.tags:
+            return
+        while self.tags:
+            closed = self.tags.pop()
+            if self.kept == self.depth:
+                clean = lambda parts: " ".join("".join(parts).split())
+                self.rows.append((*self.row, clean(self.parts), clean(self.label)))
+                self.kept = 0
+            self.hidden = 0 if self.hidden == self.depth else self.hidden
+            self.inside = 0 if self.inside == self.depth else self.inside
+            self.label_at = 0 if self.label_at == self.depth else self.label_at
+            self.depth -= 1
+            if closed == tag:
+                return
+
+    def handle_data(self, data: str) -> None:
+        if self.kept and not self.hidden:
+            self.parts.append(data)
+            if self.label_at:
+                self.label.append(data)
+
+
+def parse_constitution(html: str) -> list[dict[str, str | None]]:
+    """Sections of the Constitution Acts: ``code, title, section_no, marginal_note, heading, text``.
+
+    An Act begins at its title and ends at the next title or schedule; a marginal note belongs to the section behind it,
+    a list to the section before it; repealed sections go.
+    """
+    reader = _Rows()
+    reader.feed(html)
+    reader.close()
+    out: list[dict[str, str | None]] = []
+    act = note = None
+    heading = ""
+    open_section = False
+    for tag, classes, said, label in reader.rows:
+        if tag == "h2" and (not classes or classes & {"Title-of-Act", "scheduleLabel"}):
+            year = re.fullmatch(r"CONSTITUTION ACT, (\d{4})", said.upper())
+            act = year[1] if year and "scheduleLabel" not in classes else None
+            heading, note, open_section = "", None, False
+        elif act is None:
+            continue
+        elif classes & {"Part", "Subheading"}:
+            heading, open_section = said, False
+        elif "MarginalNote" in classes:
+            note, open_section = said, False
+        elif "Section" in classes:
+            open_section = bool(label)
+            if label:
+                out.append({"code": f"CONST-{act}", "title": f"Constitution Act, {act}", "section_no": label, "marginal_note": note, "heading": heading, "text": said})
+            note = None
+        elif "ProvisionList" in classes and open_section:
+            out[-1]["text"] = f"{out[-1]['text']} {said}"
+    return [s for s in out if s["text"] and "Repealed" not in s["text"][:40]]
+
+
+def constitution(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """One row a chunk of the Acts: ``code, title, section_no, chunk_no, marginal_note, heading, text`` with its header line."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["code", "title", "section_no", "chunk_no", "marginal_note", "heading", "text"]
+        for b in batches:
+            found = []
+            for s in (s for h in b["html"] for s in parse_constitution(h)):
+                header = f"{s['title']}, s. {s['section_no']}" + (f" — {s['marginal_note']}" if s["marginal_note"] else "")
+                found += [(s["code"], s["title"], s["section_no"], n, s["marginal_note"], s["heading"], f"{header}\n{w}") for n, w in enumerate(windows(s["text"]))]
+            yield pd.DataFrame(found, columns=names)
+
+    rows = pages.select(F.col(html_col).alias("html")).where("html is not null")
+    return rows.mapInPandas(run, "code string, title string, section_no string, chunk_no int, marginal_note string, heading string, text string")
+
+
+# --- uploaded files -------------------------------------------------------------------------------------------------
+
+_WORDS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_text(content: bytes) -> str | None:
+    """Paragraphs of a DOCX file, one a line; None where it can't be read as one."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            body = ET.fromstring(z.read("word/document.xml"))
+    except (zipfile.BadZipFile, KeyError, ET.ParseError):
+        return None
+    return "\n".join("".join(t.text or "" for t in p.iter(f"{_WORDS}t")) for p in body.iter(f"{_WORDS}p"))
+
+
+@F.pandas_udf(StringType())
+def _docx(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: docx_text(bytes(c)) if c is not None else None)
+
+
 def plain_files(spark: SparkSession, path: str) -> DataFrame:
-    """Text files with a content hash as their key; unsupported kinds and empty texts are told by ``error``."""
+    """``path, content_hash, text, error``: text, Markdown and DOCX files with a content hash as their key.
+
+    Bytes that aren't UTF-8 become replacement characters; texts are trimmed.  ``error`` tells files of unsupported kind,
+    unreadable ones and those without text.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    body = F.decode("content", "UTF-8")
-    known = kind.isin("txt", "md")
-    return files.select(
-        "path",
-        F.sha2("content", 256).alias("content_hash"),
-        F.when(known, body).alias("text"),
-        F.when(~known, "unsupported").when(F.trim(body) == "", "empty").alias("error"),
+    plain, docx = kind.isin("txt", "md"), kind == "docx"
+    raw = F.when(plain, F.make_valid_utf8(F.col("content").cast("string"))).when(docx, _docx(F.when(docx, F.col("content"))))
+    body = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    return files.select("path", F.sha2("content", 256).alias("content_hash"), body.alias("text")).withColumn(
+        "error", F.when(~F.lower("path").rlike(r"\.(txt|md|docx)$"), "unsupported").when(F.col("text").isNull(), "unreadable").when(F.col("text") == "", "empty")
     )
 
 
 def fixtures(spark: SparkSession, path: str, max_phase: int) -> DataFrame:
-    """Evaluation scenarios up to a phase whose citations are resolved; a bounded fixture file of JSON lines."""
-    rows = [json.loads(r["value"]) for r in spark.read.text(path).collect()]
-    kept = [(r["id"], r["phase"], r.get("scenario", ""), r.get("split", "tune")) for r in rows if r["phase"] <= max_phase and r.get("citations_resolved")]
-    return spark.createDataFrame(kept, "id string, phase int, scenario string, split string")
+    """Evaluation scenarios up to a phase whose citations are resolved, from JSON lines; only gold cases in the corpus stay."""
+    gold = "array<struct<citation: string, name: string, kind: string, relevance: string, court: string, in_corpus: boolean>>"
+    rows = spark.read.schema(f"id string, phase int, scenario string, split string, citations_resolved boolean, expected_authorities {gold}").json(path)
+    kept = rows.where((F.col("phase") <= max_phase) & F.col("citations_resolved"))
+    cases = F.filter(F.coalesce("expected_authorities", F.array().cast(gold)), lambda a: (a["kind"] == "case") & F.coalesce(a["in_corpus"], F.lit(True)))
+    return kept.select("id", "phase", F.coalesce("scenario", F.lit("")).alias("scenario"), F.coalesce("split", F.lit("tune")).alias("split"), cases.alias("gold"))
 
 
 def catalog_stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

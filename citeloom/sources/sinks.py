@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +60,38 @@ def log_run(spark: SparkSession, path: str, job: str, status: str, cursor: str |
 def job_states(log: DataFrame) -> DataFrame:
     order = Window.partitionBy("job").orderBy(F.desc("at"))
     return log.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def put_objects(files: DataFrame, path: str) -> DataFrame:
+    """Stores contents under their hash, each once, and returns ``content_hash`` of what is new: ``files(content)``."""
+    spark = files.sparkSession
+    rows = files.select(F.sha2("content", 256).alias("content_hash"), "content").dropDuplicates(["content_hash"])
+    try:
+        known = objects(spark, path)
+    except AnalysisException:
+        known = spark.createDataFrame([], rows.schema)
+    new = insert_absent(known, rows, ["content_hash"])
+    to = f"{path}/part-{uuid.uuid4().hex}"
+    new.write.parquet(to)
+    return spark.read.parquet(to).select("content_hash")
+
+
+def objects(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").parquet(path)
+
+
+def json_report(df: DataFrame, path: str) -> None:
+    """One JSON object a line, null fields included."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def cached(found: DataFrame, path: str, keys: list[str], as_of: str, days: int) -> DataFrame:
+    """Rows of a cache at ``path`` that are at most ``days`` old at ``as_of``, the latest of each key; ``found`` fills the rest."""
+    try:
+        kept = found.sparkSession.read.parquet(path)
+    except AnalysisException:
+        return found
+    fresh = kept.where(F.col("fetched_at") > F.to_timestamp(F.lit(as_of)) - F.make_interval(days=F.lit(days)))
+    order = Window.partitionBy(*keys).orderBy(F.desc("fetched_at"))
+    latest = fresh.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return latest.unionByName(found.join(latest.select(*keys), keys, "left_anti"), allowMissingColumns=True)

@@ -90,3 +90,64 @@ def test_catalog_matches_its_sql_keys():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+PAGE = """<html><body><h2>Menu</h2><main id="docCont">
+<h2 class="Title-of-Act">Constitution Act, 1867</h2><p class="MarginalNote"><span class="wb-invisible">Marginal note:</span>Short title</p>
+<p class="Section"><span class="sectionLabel">1</span> This Act may be cited<sup>(1)</sup>.</p>
+<h2>Canada Act 1982</h2><p class="Section"><span class="sectionLabel">9</span> not of ours</p>
+<h2>CONSTITUTION ACT, 1982</h2><h3 class="Part">Part I</h3><h3 class="Subheading">Legal Rights</h3>
+<p class="MarginalNote">Proceedings</p><p class="Section"><strong><span class="sectionLabel">11</span></strong> Any person charged has the right</p>
+<ul class="ProvisionList"><li><p>(a) to be informed; and</p></li><li>(b) to be tried.</li></ul>
+<p class="Section"><span class="sectionLabel">12</span> Repealed</p><ul class="ProvisionList"><li>(a) gone too</li></ul>
+<p class="Section">no label</p><h2 class="scheduleLabel">Schedule</h2><p class="Section"><span class="sectionLabel">3</span> x</p></main><p class="Section">after</p></body></html>"""
+
+
+def test_constitution_page(spark):
+    found = readers.parse_constitution(PAGE)
+    assert [(s["code"], s["section_no"], s["marginal_note"], s["heading"]) for s in found] == [("CONST-1867", "1", "Short title", ""), ("CONST-1982", "11", "Proceedings", "Legal Rights")]
+    assert found[0]["text"] == "1 This Act may be cited." and found[1]["text"] == "11 Any person charged has the right (a) to be informed; and (b) to be tried."
+    rows = readers.constitution(spark.createDataFrame([(PAGE,), (None,), ("<p>",)], "html string")).collect()
+    assert [r["chunk_no"] for r in rows] == [0, 0] and rows[1]["text"].startswith("Constitution Act, 1982, s. 11 — Proceedings\n11 Any")
+    assert readers.parse_constitution("") == []
+
+
+def test_uploaded_files(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>one </w:t><w:t>two</w:t></w:r></w:p><w:p><w:r><w:t>three</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "b.DOCX").write_bytes(b"no zip")
+    (tmp_path / "c.txt").write_bytes(b" caf\xe9 \n")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF")
+    out = {r["path"][-5:]: (r["text"], r["error"]) for r in readers.plain_files(spark, str(tmp_path)).collect()}
+    assert out == {".docx": ("one two\nthree", None), ".DOCX": (None, "unreadable"), "c.txt": ("caf�", None), "d.pdf": (None, "unsupported")}
+
+
+def test_fixtures_and_object_store(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"id": "a", "phase": 1, "citations_resolved": true, "expected_authorities": [{"citation": "2001 SCC 1", "kind": "case"}, {"kind": "statute"}, {"kind": "case", "in_corpus": false}]}\n{"id": "b", "phase": 9, "citations_resolved": true}\n{"id": "c", "phase": 1}\n')
+    rows = readers.fixtures(spark, str(tmp_path / "s.json"), 2).collect()
+    assert [(r["id"], r["split"], [g["citation"] for g in r["gold"]]) for r in rows] == [("a", "tune", ["2001 SCC 1"])]
+    store = str(tmp_path / "objects")
+    first = sinks.put_objects(spark.createDataFrame([(bytearray(b"x"),), (bytearray(b"x"),), (bytearray(b"y"),)], "content binary"), store)
+    again = sinks.put_objects(spark.createDataFrame([(bytearray(b"y"),), (bytearray(b"z"),)], "content binary"), store)
+    assert first.count() == 2 and again.count() == 1 and sinks.objects(spark, store).count() == 3
+    sinks.json_report(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "r"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()] == ['{"a":1,"b":null}']
+    cache = spark.createDataFrame([("k", 1, "2024-01-01"), ("k", 2, "2024-01-20"), ("old", 3, "2023-01-01")], "key string, v int, at string").selectExpr("key", "v", "timestamp(at) as fetched_at")
+    cache.write.parquet(str(tmp_path / "cache"))
+    new = spark.createDataFrame([("k", 9), ("old", 8)], "key string, v int")
+    assert {(r["key"], r["v"]) for r in sinks.cached(new, str(tmp_path / "cache"), ["key"], "2024-01-31", 30).collect()} == {("k", 2), ("old", 8)}
+    assert sinks.cached(new, str(tmp_path / "none"), ["key"], "2024-01-31", 30).count() == 2
+
+
+def test_gates_and_lines(spark):
+    from pyspark.sql import functions as F
+
+    from citeloom.functions import text
+
+    rows = spark.createDataFrame([("other_province", ["q"]), ("unknown", ["when?", "who?"]), ("unknown", None), ("ontario", ["when?"])], "j string, c array<string>")
+    out = [(r["g"]["status"], r["g"]["message"], r["courts"]) for r in rows.select(text.jurisdiction_gate(F.col("j"), F.col("c")).alias("g"), text.case_courts(F.col("j")).alias("courts")).collect()]
+    assert out == [("unsupported_jurisdiction", "other province matters are not covered", None), ("needs_clarification", "when?; who?", None), ("ok", None, None), ("ok", "when?", ["ONCA", "SCC"])]
+    one = spark.range(1).select(text.party_line(F.lit("Ann"), F.lit(" "), F.lit("Tenant")).alias("p"), text.decision_line(F.lit(""), F.lit("yes")).alias("d"), text.with_fallback(F.lit(" "), F.array(F.lit("rent"))).alias("q")).first()
+    assert tuple(one) == ("Ann – tenant", "yes", "rent")
