@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ CHUNK, GIANT = 8_192, 32_768
 NEVER = -1e18
 #: Words up to this length are merged step by step, which takes the square of their length; longer ones go by the lattice.
 _MERGED = 48
-_CACHE = 400_000
+_CACHE = 600_000
 _WORD = re.compile("▁+[^▁]*")
 
 #: A boundary state: the start and the end of an occurrence, relative to the boundary; WORD where a word starts.
@@ -65,7 +66,8 @@ class Pieces:
             self.raw[i] = bytes([b])
         if any(MARK in p.lstrip(MARK) for p in self.text):
             raise ValueError("a piece of this model crosses the start of a word")
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.packed = {p: i.to_bytes(4, sys.byteorder) for p, i in self.text.items()}
+        self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     @classmethod
@@ -73,25 +75,28 @@ class Pieces:
     def load(cls, path: str) -> Pieces:
         return cls(path)
 
-    def ids(self, piece: str) -> list[int]:
-        i = self.text.get(piece)
-        return [i] if i is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+    def ids(self, piece: str) -> bytes:
+        """Ids of a piece, or of the bytes of a character that is none, as 32-bit numbers."""
+        found = self.packed.get(piece)
+        if found is None:
+            return np.array([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")], np.int32).tobytes()
+        return found
 
     def merge(self, text: str) -> list[str]:
         """The model's pieces of a short text: the pair of the highest score is merged first, the left-most if equal."""
         parts, score = list(text), self.score.get
-        worth = [score(a + b, NEVER) for a, b in itertools.pairwise(parts)]
+        worth = [score(text[i : i + 2], NEVER) for i in range(len(text) - 1)]
         while worth:
             best = max(worth)
             if best == NEVER:
                 break
             at = worth.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del worth[at]
+            made = parts[at] = parts[at] + parts[at + 1]
+            del parts[at + 1], worth[at]
             if at:
-                worth[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+                worth[at - 1] = score(parts[at - 1] + made, NEVER)
             if at < len(worth):
-                worth[at] = score(parts[at] + parts[at + 1], NEVER)
+                worth[at] = score(made + parts[at + 1], NEVER)
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
@@ -103,16 +108,16 @@ class Pieces:
             found = self.pairs[a, b] = self.merge(a + b) == ([a, b] if a else [b])
         return found
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word with its marks."""
+    def word(self, word: str) -> bytes:
+        """Ids of one word with its marks, packed."""
         found = self.words.get(word)
         if found is None:
             if len(self.words) > _CACHE:
                 self.words.clear()
             if len(word) <= _MERGED:
-                found = tuple(i for p in self.merge(word) for i in self.ids(p))
+                found = b"".join(map(self.ids, self.merge(word)))
             else:
-                found = tuple(self.trace(Chunk(word, 0, len(word), 0, len(word)), WORD, (self.last(word) - len(word), 0)))
+                found = self.trace(Chunk(word, 0, len(word), 0, len(word)), WORD, (self.last(word) - len(word), 0))
             self.words[word] = found
         return found
 
@@ -122,9 +127,17 @@ class Pieces:
         row = self.transfer(whole)[0]
         return len(word) + self.states(whole, len(word))[int(np.argmax(row))][0]
 
+    def packed_ids(self, marked: str) -> bytes:
+        """Ids of whole words, packed."""
+        words = split_words(marked)
+        found = list(map(self.words.get, words))
+        if None in found:
+            found = [self.word(w) if f is None else f for w, f in zip(words, found, strict=True)]
+        return b"".join(found)
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text that stands in one chunk."""
-        return list(itertools.chain.from_iterable(map(self.word, split_words(mark(text)))))
+        return np.frombuffer(self.packed_ids(mark(text)), np.int32).tolist()
 
     def decode(self, ids: np.ndarray) -> str:
         inside = ids[(ids >= 0) & (ids < len(self.raw))]
@@ -193,10 +206,10 @@ class Pieces:
                     back[j, k] = max(fits, key=lambda o: here[o].max())
         return {o: v for j, found in at.items() if j >= end for o, v in found.items()}, back
 
-    def trace(self, chunk: Chunk, before: State, behind: State) -> list[int]:
-        """Ids of the pieces that start in the chunk on the path between two states."""
+    def trace(self, chunk: Chunk, before: State, behind: State) -> bytes:
+        """Ids of the pieces that start in the chunk on the path between two states, packed."""
         if before == behind == WORD:
-            return [i for w in split_words(chunk.text[chunk.start : chunk.end]) for i in self.word(w)]
+            return self.packed_ids(chunk.text[chunk.start : chunk.end])
         back = self._forward(chunk, {before: np.zeros(1)})[1]
         now, parts = (chunk.end + behind[0], chunk.end + behind[1]), []
         first = (chunk.start + before[0], chunk.start + before[1])
@@ -205,9 +218,9 @@ class Pieces:
             if now[0] < now[1]:
                 parts.append(self.ids(chunk.text[now[0] : now[1]]))
             elif earlier[0] == earlier[1]:
-                parts.append([i for w in split_words(chunk.text[earlier[0] : now[0]]) for i in self.word(w)])
+                parts.append(self.packed_ids(chunk.text[earlier[0] : now[0]]))
             now = earlier
-        return [i for part in reversed(parts) for i in part]
+        return b"".join(reversed(parts))
 
 
 class Chunk:
@@ -282,7 +295,8 @@ def encode_scan(pieces: Pieces, text: str, chunk: int = CHUNK) -> list[int]:
         return []
     chunks = [Chunk(marked, a, b, 0, len(marked)) for a, b in itertools.pairwise(cut_points(marked, chunk))]
     states = boundary_states([pieces.transfer(c) for c in chunks])
-    return [i for c, a, b in zip(chunks, states, states[1:], strict=False) for i in pieces.trace(c, pieces.states(c, c.start)[a], pieces.states(c, c.end)[b])]
+    packed = [pieces.trace(c, pieces.states(c, c.start)[a], pieces.states(c, c.end)[b]) for c, a, b in zip(chunks, states, states[1:], strict=False)]
+    return np.frombuffer(b"".join(packed), np.int32).tolist()
 
 
 _ROW = ["doc_id", "copy", "n"]
@@ -306,7 +320,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model)
         for b in batches:
-            ids = [np.array(pieces.encode(t), np.int32) for t in b.column(1).to_pylist()]
+            ids = [np.frombuffer(pieces.packed_ids(mark(t)), np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     small = rows.where(F.length("text") <= giant).mapInArrow(short, f"doc_id {kind}, ids array<int>")
@@ -353,7 +367,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             ids = []
             for *row, before, behind in zip(*(c.to_pylist() for c in b.columns[3:]), strict=True):
                 c = _chunk_of(*row)
-                ids.append(np.array(pieces.trace(c, pieces.states(c, c.start)[before], pieces.states(c, c.end)[behind]), np.int32))
+                ids.append(np.frombuffer(pieces.trace(c, pieces.states(c, c.start)[before], pieces.states(c, c.end)[behind]), np.int32))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.list_(pa.int32()))], names=[*_ROW, "ids"])
 
     # A null id joins itself: the copies' numbers are unique.

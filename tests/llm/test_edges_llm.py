@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from citeloom.llm import language_id, sharding
 from citeloom.llm.common import keyed_join, spread_join
+from citeloom.llm.html_lstm import labeller, training_pages
 from citeloom.llm.near import shingle_similarity
 from citeloom.llm.token_counts import section_tokens
 from citeloom.llm.topk import top_products
@@ -133,6 +134,16 @@ def test_top_products_repeated_ids_dimensions_and_blocks(spark, monkeypatch):
         top_products(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>"), df, 3).collect()
 
 
+def test_html_pages_without_telling_elements():
+    """Pages of which no element is called article or main are labelled as well as the others."""
+    model, right, total = labeller(), 0, 0
+    for page, labels in training_pages(250, seed=991):
+        if not any("article" in n or "main" in n for b in page for n in b.path):
+            right += int(((model.label([page])[0] >= 0.5) == labels).sum())
+            total += len(labels)
+    assert total > 1000 and right / total > 0.98
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 
