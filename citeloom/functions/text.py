@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Citation patterns, French court codes and their English forms, stop words, decision-header marks.
 NEUTRAL = r"\b([0-9]{4})\s+([A-Z][A-Za-z]{1,9})\s+([0-9]{1,5})\b"
+#: The same with a number of any length: an authority may be numbered beyond 99,999, as CanLII's are.
+NEUTRAL_LONG = NEUTRAL.replace("{1,5}", "+")
 SCR = r"\[([0-9]{4})\]\s*([0-9])\s*S\.?\s*C\.?\s*R\.?\s*([0-9]{1,4})"
 FRENCH_COURTS = {
     "CSC": "SCC", "CF": "FC", "CAF": "FCA", "CFPI": "FCT", "CCI": "TCC", "CACM": "CMAC",
@@ -61,16 +63,16 @@ def _zipped(text: Column, pattern: str, groups: int, build) -> Column:
     return F.transform(zipped, lambda z: build(*[z[n] for n in names]))
 
 
-def neutral_citations(text: Column) -> Column:
-    return _zipped(text, NEUTRAL, 3, lambda y, c, n: F.concat_ws(" ", y, c, n))
+def neutral_citations(text: Column, pattern: str = NEUTRAL) -> Column:
+    return _zipped(text, pattern, 3, lambda y, c, n: F.concat_ws(" ", y, c, n))
 
 
 def scr_citations(text: Column) -> Column:
     return _zipped(text, SCR, 3, lambda y, v, p: F.concat(F.lit("["), y, F.lit("] "), v, F.lit(" SCR "), p))
 
 
-def case_citations(text: Column) -> Column:
-    return F.concat(neutral_citations(text), scr_citations(text))
+def case_citations(text: Column, neutral: str = NEUTRAL) -> Column:
+    return F.concat(neutral_citations(text, neutral), scr_citations(text))
 
 
 def canonical(citation: Column) -> Column:
@@ -139,7 +141,7 @@ PINPOINT = r"(?i)^\s*(?:ss?\.|sections?|rules?|r\.|articles?|art\.)\s*[\w.()]+(?
 
 def key_terms(authority: Column) -> Column:
     """What must be found of an authority: its citations, else its leading name of at least four characters."""
-    cited = F.transform(case_citations(authority), normalize)
+    cited = F.transform(case_citations(authority, NEUTRAL_LONG), normalize)
     name = normalize(F.split(F.regexp_replace(authority, PINPOINT, ""), r",|\(|\bss?\.?\s*\d|\bsection\b").getItem(0))
     return F.when(F.size(cited) > 0, cited).when(F.length(name) >= 4, F.array(name)).otherwise(F.array().cast("array<string>"))
 
