@@ -84,13 +84,17 @@ def distinct_on_best(t: Tables) -> DataFrame:
 @query
 def four_way_citing(t: Tables) -> DataFrame:
     """For every twentieth part: the parts of its brand and type, the orders that cite them, each once, the 20 dearest."""
-    part = t.part.select("p_partkey", "p_brand", "p_type")
+    kind = ["p_brand", "p_type"]
+    part = t.part.select("p_partkey", *kind)
     target = part.where("p_partkey % 20 = 0").withColumnRenamed("p_partkey", "target")
-    same = part.join(target, ["p_brand", "p_type"]).select("target", F.col("p_partkey").alias("l_partkey"))
-    citing = t.lineitem.select("l_orderkey", "l_partkey").join(same, "l_partkey").select("target", F.col("l_orderkey").alias("o_orderkey")).distinct()
-    dearest = Window.partitionBy("target").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    ranked = t.orders.select("o_orderkey", "o_totalprice").join(citing, "o_orderkey").withColumn("rank", F.row_number().over(dearest))
-    return ranked.where("rank <= 20").select("target", "o_orderkey", "o_totalprice", "rank")
+    # Targets of one brand and type have the same citing orders, so these are ranked once and dealt to the targets last.
+    asked = part.join(target.select(*kind).distinct(), kind, "left_semi").withColumnRenamed("p_partkey", "l_partkey")
+    citing = t.lineitem.select("l_orderkey", "l_partkey").join(asked, "l_partkey").select(F.col("l_orderkey").alias("o_orderkey"), *kind)
+    # Joined first, distinct then: both are dealt by order, so lines are shuffled once for the two.
+    priced = t.orders.select("o_orderkey", "o_totalprice").join(citing, "o_orderkey").distinct()
+    dearest = Window.partitionBy(*kind).orderBy(F.desc("o_totalprice"), "o_orderkey")
+    ranked = priced.withColumn("rank", F.row_number().over(dearest)).where("rank <= 20")
+    return target.join(ranked, kind).select("target", "o_orderkey", "o_totalprice", "rank")
 
 
 @query
