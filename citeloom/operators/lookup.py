@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from citeloom.operators.scratch import written
 
 # Fixed value: the least word similarity of a name.
 LEAST_SIMILARITY = 0.6
+# Digits of a score that ranks.
+DIGITS = 6
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -30,30 +32,40 @@ def by_citation(cases: DataFrame, queries: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct().withColumn("score", F.lit(1.0))
 
 
-def by_name(cases: DataFrame, queries: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """Names whose word similarity with the query is at least ``least``.
+def _first_cases(rows: DataFrame, by: list[str], order: list[Column], limit: int | None) -> DataFrame:
+    if limit is None:
+        return rows
+    first = Window.partitionBy(*by).orderBy(*order, F.desc("cited_by_count"), "case_id")
+    return rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
+
+
+def by_name(cases: DataFrame, queries: DataFrame, least: float = LEAST_SIMILARITY, limit: int | None = None) -> DataFrame:
+    """Names whose word similarity with the query is at least ``least``; all cases, or each query's first ``limit``.
 
     Such a name shares that part of the query's trigrams, so it has one of the query's rarest ones, as many as the rest
     and one more.  Pairs come from an equi-join on these alone, common trigrams never meet; what shares enough is scored.
+    Pairs are of distinct texts and distinct names.  Cases of one name have one score, so with a ``limit`` a name's first
+    ones by citations and id are all that can stand among a query's first; that many meet the texts, and the queries last.
     """
-    names = written(cases.select("case_id", "name", "cited_by_count", _trigrams("name").alias("_nt")), "lookup-names")
-    asked = queries.select("query_id", F.col("text").alias("_q"), _trigrams("text").alias("_ts")).where(F.size("_ts") > 0)
-    each = names.select("case_id", F.explode("_nt").alias("_t"))
+    names = written(cases.where("name is not null").select("name").distinct().select("name", _trigrams("name").alias("_nt")), "lookup-names")
+    asked = queries.select(F.col("text").alias("_q")).distinct().select("_q", _trigrams("_q").alias("_ts")).where(F.size("_ts") > 0)
+    each = names.select("name", F.explode("_nt").alias("_t"))
     common = each.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
-    listed = asked.select("query_id", F.size("_ts").alias("_n"), F.explode("_ts").alias("_t")).join(common, "_t", "left")
-    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("_df", F.lit(0)), "_t")
+    listed = asked.select("_q", F.size("_ts").alias("_n"), F.explode("_ts").alias("_t")).join(common, "_t", "left")
+    rarest = Window.partitionBy("_q").orderBy(F.coalesce("_df", F.lit(0)), "_t")
     first = listed.withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= F.col("_n") - F.ceil(F.lit(least) * F.col("_n")) + 1)
-    pairs = first.select("query_id", "_t").join(each, "_t").select("query_id", "case_id").distinct()
-    shared = pairs.join(asked, "query_id").join(names, "case_id").where(F.size(F.array_intersect("_ts", "_nt")) >= least * F.size("_ts"))
+    pairs = first.select("_q", "_t").join(each, "_t").select("_q", "name").distinct()
+    shared = pairs.join(asked, "_q").join(names, "name").where(F.size(F.array_intersect("_ts", "_nt")) >= least * F.size("_ts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            scores = [word_similarity(q, n) for q, n in zip(b["_q"], b["name"], strict=True)]
-            yield b[["query_id", "case_id", "cited_by_count"]].assign(score=scores)
+            yield b.assign(score=[word_similarity(q, n) for q, n in zip(b["_q"], b["name"], strict=True)])
 
-    kinds = dict(shared.dtypes)
-    near = shared.select("query_id", "case_id", "cited_by_count", "_q", "name").mapInPandas(run, f"query_id {kinds['query_id']}, case_id {kinds['case_id']}, cited_by_count {kinds['cited_by_count']}, score double")
-    return near.where(F.col("score") >= least)
+    near = shared.select("_q", "name").mapInPandas(run, "_q string, name string, score double").where(F.col("score") >= least)
+    held = _first_cases(cases.where("name is not null").select("name", "case_id", "cited_by_count"), ["name"], [], limit)
+    # Ranked on the score as the lookup rounds it, so that what ties there ties here.
+    found = _first_cases(near.join(held, "name").select("_q", "case_id", "cited_by_count", "score"), ["_q"], [F.desc(F.round("score", DIGITS))], limit)
+    return queries.select("query_id", F.col("text").alias("_q")).join(found, "_q").select("query_id", "case_id", "cited_by_count", "score")
 
 
 def by_keywords(cases: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -67,8 +79,8 @@ def lookup(cases: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     A stage only gets the queries that the stages before have found nothing for.
     """
     parts, left = [], queries
-    for i, stage in enumerate((by_citation, by_name, lambda c, q: by_keywords(c, q, limit))):
-        found = written(stage(cases, left).select("query_id", "case_id", "cited_by_count", F.round("score", 6).alias("score"), F.lit(i).alias("stage")), "lookup-stage")
+    for i, stage in enumerate((by_citation, lambda c, q: by_name(c, q, limit=limit), lambda c, q: by_keywords(c, q, limit))):
+        found = written(stage(cases, left).select("query_id", "case_id", "cited_by_count", F.round("score", DIGITS).alias("score"), F.lit(i).alias("stage")), "lookup-stage")
         parts.append(found)
         left = left.join(found.select("query_id").distinct(), "query_id", "left_anti")
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
