@@ -576,10 +576,9 @@ def summaries_of_cases(t: Tables) -> DataFrame:
 @query
 def nearest_chunk_per_case(t: Tables) -> DataFrame:
     """Of every case (label) the chunk nearest to each query, as DISTINCT ON by distance."""
-    asked = _seed_vectors(t).withColumnRenamed("query", "vector")
-    cases = t.embeddings.select(F.col("label").alias("case_id")).distinct()
-    dealt = asked.select("query_id", (F.col("query_id") % 3).alias("_k")).join(cases.select("case_id", (F.col("case_id") % 3).alias("_k")), "_k")
-    return search.nearest_chunks(dealt.select("query_id", "case_id"), t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("case_id"), "embedding"), asked)
+    chunks = t.embeddings.withColumnRenamed("label", "case_id")
+    found = vector.nearest_of_group(chunks, _seed_vectors(t), "case_id")
+    return found.select("query_id", "case_id", F.col("item_id").alias("chunk_id"), "dist")
 
 
 @query
