@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/citeloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of long texts that pass to Python at a time.
+FEW = "512"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Few rows an Arrow batch for what is run inside, so that a batch of whole texts stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, FEW)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
