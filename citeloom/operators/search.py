@@ -201,11 +201,16 @@ def supported_sections(sections: DataFrame, named: DataFrame, floor: float = SEC
     named, in list 0, or have a section cited by seeds, and only what passes the gate.
     """
     law = ["scenario_id", "code"]
-    told = named.select(*law).distinct().withColumn("_named", F.lit(True))
-    kept = sections.join(told, law, "left").where("_named or cited_by_count > 0")
-    held = told.select(*law).unionByName(kept.where("list_no = 0 or n_seeds > 0").select(*law)).distinct()
-    later = kept.where("list_no > 0").join(held, law, "left_semi").where(ranking.passes_gate(F.col("rerank_score"), floor))
-    return kept.where("list_no = 0").unionByName(later).drop("_named")
+    # Names and sections are dealt and sorted by law once; a law that is null is neither named nor held.
+    rows = sections.select(*law, *[c for c in sections.columns if c not in law])
+    both = rows.withColumn("_told", F.lit(False)).unionByName(named.select(*law, F.lit(True).alias("_told")), allowMissingColumns=True)
+    own, known = Window.partitionBy(*law), F.col("scenario_id").isNotNull() & F.col("code").isNotNull()
+    cited = F.coalesce(F.col("cited_by_count") > 0, F.lit(False))
+    counts = F.col("_told") | cited & F.coalesce((F.col("list_no") == 0) | (F.col("n_seeds") > 0), F.lit(False))
+    marked = both.withColumns({"_named": known & F.max("_told").over(own), "_held": known & F.max(counts).over(own)}).where("not _told")
+    kept = marked.where(F.col("_named") | cited)
+    passes = F.col("_held") & ranking.passes_gate(F.col("rerank_score"), floor)
+    return kept.where((F.col("list_no") == 0) | (F.col("list_no") > 0) & passes).select(*rows.columns)
 
 
 def uncovered_regulations(cited: DataFrame, laws: DataFrame) -> DataFrame:
