@@ -22,7 +22,8 @@ def _matrix(rows: pa.Array, width: int) -> np.ndarray:
     """One row a vector, NaN throughout where it is null or has another length, NaN where a component is null."""
     fits = pc.equal(pc.fill_null(pc.list_value_length(rows), -1), width)
     out = np.full((len(rows), width), np.nan)
-    out[fits.to_numpy(zero_copy_only=False)] = rows.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+    held = rows.filter(fits)
+    out[fits.to_numpy(zero_copy_only=False)] = held.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(held), width)
     return out
 
 
